@@ -20,6 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MEMO_PIECES, MEMO_CHARS = 400_000, 48
 _BLANKS = str.maketrans("\t\n\r", "   ")
 _PIECE = re.compile(r"[^ \t\n\r]+")
+_ASCII = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
 #: The pre-tokenizer of which the module's docstring speaks; fixed values of that tokenizer's file.
 _DROPS_BLANKS = {"type": "Split", "behavior": "Removed", "invert": True}
 _CHARWISE = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
@@ -60,7 +61,9 @@ class Encoder:
             self.tok.no_truncation()
             self.tok.no_padding()
             with open(path, encoding="utf-8") as f:
-                self.alone = _separable(json.load(f))
+                spec = json.load(f)
+            self.alone = _separable(spec)
+            self.lowers, self.signs = {"type": "Lowercase"} in (spec.get("normalizer") or {}).get("normalizers", []), {}
             self.size = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
 
@@ -69,12 +72,29 @@ class Encoder:
             return self.sp.encode(texts, num_threads=1)
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+    def _direct(self, piece: str) -> list[int] | None:
+        """Ids of an ASCII word, with signs behind it or not, by the library's model alone.
+
+        Such a word is one pre-token of which the normalizer only changes the case.
+        """
+        m = _ASCII.fullmatch(piece)
+        if not m:
+            return None
+        if m[2] not in self.signs:
+            self.signs[m[2]] = self.tok.encode(m[2], add_special_tokens=False).ids
+        return [t.id for t in self.tok.model.tokenize(m[1].lower() if self.lowers else m[1])] + self.signs[m[2]]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Encode unseen pieces; those that don't fit the memo come back in a map of their own."""
-        rest, seen = {}, list(pieces)
-        for i in range(0, len(seen), 2000):
-            part = seen[i : i + 2000]
-            for piece, ids in zip(part, self._library(part)):
+        rest = {}
+        done = [(p, ids) for p in pieces if (ids := self._direct(p)) is not None]
+        known = {p for p, _ in done}
+        other = [p for p in pieces if p not in known]
+        for i in range(0, len(other), 2000):
+            part = other[i : i + 2000]
+            done += zip(part, self._library(part))
+        if done:
+            for piece, ids in done:
                 raw = np.asarray(ids, self.dtype).tobytes()
                 if len(self.memo) < MEMO_PIECES and len(piece) <= MEMO_CHARS:
                     self.memo[piece] = raw
@@ -87,15 +107,14 @@ class Encoder:
         if not self.alone:
             return [np.asarray(x, self.dtype) for x in self._library(texts)]
         split = [t.translate(_BLANKS).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.memo.keys() if split else set()
+        new = [p for p in set().union(*split) if p not in self.memo]
         rest = self._learn(new) if new else {}
         memo = self.memo
-        if not rest:
-            get = memo.__getitem__
-        else:
-            def get(piece):
-                return memo[piece] if piece in memo else rest[piece]
-        return [np.frombuffer(b"".join(map(get, s)), self.dtype) for s in split]
+        memo.update(rest)
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, s)), self.dtype) for s in split]
+        for piece in rest:
+            del memo[piece]
+        return out
 
     def spans(self, chunk: str) -> tuple[np.ndarray, np.ndarray, int]:
         """(starts, before, total): stable boundaries of a chunk, the tokens before each, and all its tokens.
@@ -105,7 +124,7 @@ class Encoder:
         """
         if self.alone:
             found = [(m.start(), m[0]) for m in _PIECE.finditer(chunk)]
-            new = {p for _, p in found} - self.memo.keys()
+            new = [p for p in {p for _, p in found} if p not in self.memo]
             rest = self._learn(new) if new else {}
             w = self.dtype.itemsize
             n = np.fromiter((len(self.memo[p] if p in self.memo else rest[p]) // w for _, p in found), np.int64, len(found))
