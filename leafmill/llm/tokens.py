@@ -20,7 +20,18 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MEMO_PIECES, MEMO_CHARS = 400_000, 48
 _BLANKS = str.maketrans("\t\n\r", "   ")
 _PIECE = re.compile(r"[^ \t\n\r]+")
-_ASCII = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+#: A word of Latin-1 letters with signs behind it or not.
+_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+def _byte_chars() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as it is, the rest from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_chars()
 #: The pre-tokenizer of which the module's docstring speaks; fixed values of that tokenizer's file.
 _DROPS_BLANKS = {"type": "Split", "behavior": "Removed", "invert": True}
 _CHARWISE = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
@@ -63,7 +74,9 @@ class Encoder:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
             self.alone = _separable(spec)
-            self.lowers, self.signs = {"type": "Lowercase"} in (spec.get("normalizer") or {}).get("normalizers", []), {}
+            # lower-case words of Latin-1 letters pass such a normalizer and byte-level pre-tokenizer unchanged
+            self.direct = self.alone and {"type": "Lowercase"} in spec["normalizer"].get("normalizers", []) and any(p["type"] == "ByteLevel" for p in spec["pre_tokenizer"].get("pretokenizers", [])) and "\\p{L}]+" in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            self.signs: dict[str, bytes] = {}
             self.size = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
 
@@ -72,34 +85,42 @@ class Encoder:
             return self.sp.encode(texts, num_threads=1)
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _direct(self, piece: str) -> list[int] | None:
-        """Ids of an ASCII word, with signs behind it or not, by the library's model alone.
-
-        Such a word is one pre-token of which the normalizer only changes the case.
-        """
-        m = _ASCII.fullmatch(piece)
-        if not m:
-            return None
-        if m[2] not in self.signs:
-            self.signs[m[2]] = self.tok.encode(m[2], add_special_tokens=False).ids
-        return [t.id for t in self.tok.model.tokenize(m[1].lower() if self.lowers else m[1])] + self.signs[m[2]]
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case word by the library's model alone: it is one pre-token and stays as it is."""
+        raw = self.memo.get(word)
+        if raw is None:
+            shown = word if word.isascii() else "".join(map(_BYTES.__getitem__, word.encode()))
+            raw = np.array([t.id for t in self.tok.model.tokenize(shown)], self.dtype).tobytes()
+            if len(self.memo) < MEMO_PIECES and len(word) <= MEMO_CHARS:
+                self.memo[word] = raw
+        return raw
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Encode unseen pieces; those that don't fit the memo come back in a map of their own."""
-        rest = {}
-        done = [(p, ids) for p in pieces if (ids := self._direct(p)) is not None]
-        known = {p for p, _ in done}
-        other = [p for p in pieces if p not in known]
+        rest, other = {}, []
+
+        def put(piece, raw):
+            if len(self.memo) < MEMO_PIECES and len(piece) <= MEMO_CHARS:
+                self.memo[piece] = raw
+            else:
+                rest[piece] = raw
+
+        for piece in pieces:
+            m = _LATIN.fullmatch(piece) if self.direct else None
+            if m is None:
+                other.append(piece)
+                continue
+            word, signs = m.groups()
+            raw = self._word(word.lower())
+            if signs:
+                if signs not in self.signs:
+                    self.signs[signs] = np.array(self._library([signs])[0], self.dtype).tobytes()
+                raw += self.signs[signs]
+            put(piece, raw)
         for i in range(0, len(other), 2000):
             part = other[i : i + 2000]
-            done += zip(part, self._library(part))
-        if done:
-            for piece, ids in done:
-                raw = np.asarray(ids, self.dtype).tobytes()
-                if len(self.memo) < MEMO_PIECES and len(piece) <= MEMO_CHARS:
-                    self.memo[piece] = raw
-                else:
-                    rest[piece] = raw
+            for piece, ids in zip(part, self._library(part)):
+                put(piece, np.asarray(ids, self.dtype).tobytes())
         return rest
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
