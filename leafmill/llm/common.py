@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.shipping import ship
+
 #: Rows and bytes in one Arrow batch; texts can be long, so the row count is far below Spark's default.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
@@ -34,6 +36,8 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Before Python work: the package on every executor, and batches of bounded size."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

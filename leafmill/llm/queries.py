@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontaminate, token_counts, token_files
+from leafmill.llm import chat, decontaminate, fingerprints, jaccard_join, line_dedup, scoring, sentencepieces, token_counts, token_files, toxicity
 from leafmill.llm.common import shared_dir, table
 
 QUERIES: dict = {}
@@ -72,3 +73,41 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum(length(role) + length(shown) + 17) as bigint) as formatted_chars
 from esc group by conv_id"""
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepieces.sentencepiece_encode(table(spark, sf_dir, "documents"), path)
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    return toxicity.score(docs.withColumn("held_out", held), index, keep=["held_out"]).select("doc_id", "held_out", "score", "predicted", "evidence_ids", "evidence_cosines")
+
+
+def held_out(column: str):
+    """Rows whose labels are never learned from: crc32 of the id as text, mod 5, is 0."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+@query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
