@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.functions.text import hit_count
+from leafmill.operators import tables
+from leafmill.plans import column_queries, file_queries, kernel_queries
+from leafmill.sources.reader import make_files
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for module in (file_queries, kernel_queries, column_queries):
+    QUERIES |= module.QUERIES
+    ORACLE |= module.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """How often each language's documents say `the`: texts to PDF files, parsed, walked, read and counted."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = tables.page_texts(make_files(docs)).where("error is null")
+    counted = text.select("doc_id", hit_count(F.col("text"), "the", True).alias("n"))
+    return counted.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.countDistinct("doc_id").alias("docs"), F.sum("n").alias("hits"))
