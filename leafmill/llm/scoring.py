@@ -215,7 +215,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     kind = docs.schema[id_col].dataType.simpleString()
     out = None
     for g, group in enumerate(groups):
-        data = [(r["range"], r.bits, bytes(r.data)) for r in segments.where(F.col("range").isin(group)).select("range", "bits", "data").toLocalIterator()] if group else []
+        data = [(r["range"], r.bits, bytes(r.data)) for r in segments.where(F.col("range").isin(group)).select("range", "bits", "data").collect()] if group else []
         shared = spark.sparkContext.broadcast(Filter(ranges, data))
 
         def finish(values, ids, numbers, shared=shared, first_group=g == 0):

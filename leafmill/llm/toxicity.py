@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([[t for t, _ in x] for x in tf], pa.list_(pa.string())), pa.array([[c for _, c in x] for x in tf], pa.list_(pa.int64()))], ["id", "label", "term", "n"])
 
     kept = counts.mapInArrow(restrict, "id long, label int, term array<string>, n array<long>")
-    examples = [(r.id, r.label, dict(zip(r.term, r.n))) for r in kept.toLocalIterator()]
+    examples = [(r.id, r.label, dict(zip(r.term, r.n))) for r in kept.collect()]  # bounded by the sample and the terms
     weight = (totals.get(0, 0) / neg if neg else 1.0, totals.get(1, 0) / pos if pos else 1.0)
     return Index(sorted(examples), idf, weight)
 
