@@ -51,10 +51,10 @@ def trailer_merge(spark, sf_dir):
     return R.merge_trailer(e).select("key", "value")
 
 
-@query("""with o as (select l_orderkey as num, l_linenumber as gen, l_quantity as value from lineitem), low as (select num, arg_min(value, gen) as v from o group by num)
+@query("""with o as (select l_orderkey as num, l_linenumber as gen, min(l_quantity) as value from lineitem group by 1, 2), low as (select num, arg_min(value, gen) as v from o group by num)
 select o_orderkey as num, cast(o_orderkey % 7 as int) as gen, coalesce(o.value, low.v) as value from orders left join o on o.num = o_orderkey and o.gen = o_orderkey % 7 left join low on low.num = o_orderkey""")
 def dereference(spark, sf_dir):
-    objects = read(spark, sf_dir, "lineitem").select(F.lit(0).alias("doc_id"), F.col("l_orderkey").alias("num"), F.col("l_linenumber").alias("gen"), F.col("l_quantity").alias("value"))
+    objects = read(spark, sf_dir, "lineitem").select(F.lit(0).alias("doc_id"), F.col("l_orderkey").alias("num"), F.col("l_linenumber").alias("gen"), "l_quantity").groupBy("doc_id", "num", "gen").agg(F.min("l_quantity").alias("value"))
     refs = read(spark, sf_dir, "orders").select(F.lit(0).alias("doc_id"), F.col("o_orderkey").alias("num"), (F.col("o_orderkey") % 7).cast("int").alias("gen"))
     return R.dereference(refs, objects).select("num", "gen", "value")
 
