@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import small_batches, stash, words
 
 #: Bounds of the fitted model: labelled rows of each class, words of the vectors.
-MAX_POSITIVE, MAX_NEGATIVE, MAX_TERMS = 4_000, 8_000, 4_096
+MAX_POSITIVE, MAX_NEGATIVE, MAX_TERMS = 4_000, 8_000, 256
 #: Chi-square below which a word isn't used (one degree of freedom; about one in 100,000 by chance).
 MIN_CHI = 20.0
 BLOCK, NEAREST = 64, 15
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Of labelled rows at most max_positive of label 1 and max_negative of others are taken, in the order of a
     hash of their id. Null ids and labels are left out; an id that is labelled twice takes its highest label;
-    of texts that share an id the first in order counts. Without examples every score is the prior, 0.
+    of texts that share an id the first in order counts; equal texts are one example, with their highest label. Without examples every score is the prior, 0.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -160,6 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most max_positive + max_negative rows: that bounds the broadcast
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(taken), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    # copies of one text are one example: else their every word looks like a sign of their label
+    found = found.groupBy("text").agg(F.max("label").alias("label"), F.min("id").alias("id"))
     counts = stash(_counts(found.select("id", "label", "text")), "toxicity-sample")
     sizes = {r.label: r.n for r in counts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
