@@ -81,6 +81,9 @@ def make_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FILES))
     kind = docs.schema[id_col].dataType.simpleString()
+    wide = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < wide:  # a small table in one file would be made by one task
+        docs = docs.repartition(wide)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(title_col).cast("string") if title_col else F.lit(None).cast("string")).alias("title"))
 
     def run(batches):
