@@ -25,7 +25,7 @@ from leafmill.llm.blocks import block_docs, block_units, by_block, planes, unpla
 from leafmill.llm.common import small_batches, stash
 
 #: Bits of a bigram hash, filter bits for each entry, probes, and bytes of the segments broadcast at once.
-KEY_BITS, ENTRY_BITS, PROBES, GROUP_BYTES = 44, 10, 5, 192 << 20
+KEY_BITS, ENTRY_BITS, PROBES, GROUP_BYTES = 44, 12, 6, 192 << 20
 #: Tokens after which a scan hands out the bigrams it has counted.
 FLUSH = 2_000_000
 _KEY = np.uint64((1 << KEY_BITS) - 1)

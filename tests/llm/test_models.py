@@ -90,7 +90,9 @@ def test_scores_against_brute_force(spark):
         got = sorted((tuple(r) for r in scoring.lm_scores(docs, group_bytes=group).collect()), key=key)
         for g, w in zip(got, sorted(want, key=key), strict=True):
             assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9, abs_tol=1e-9)
-            assert abs(g[6] - w[6]) <= 1e-6 * abs(w[6]) + 0.25 * (abs(w[6]) > 50) + 0.3  # the filter may take a bigram for one it holds
+            assert g[6] >= w[6] - 1e-6 and g[6] <= w[6] + 3  # the filter may take a bigram for one it holds, or for a commoner one
+        exact = sum(math.isclose(g[6], w[6], rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, sorted(want, key=key)))
+        assert exact >= 0.4 * len(got)
     assert scoring.lm_scores(table(spark, [(1, "a")]).limit(0)).count() == 0
 
 
