@@ -110,17 +110,31 @@ def sat(c: list[Column]) -> Column:
     return F.greatest(*c) - F.least(*c)
 
 
-def _clip(c: list[Column]) -> list[Column]:
+def _let(values: list[Column], f) -> Column:
+    """f of the values, each of them computed once: a lambda binds them, so that expressions stay small."""
+    packed = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.get(F.transform(packed, lambda s: f([s.getField(f"v{i}") for i in range(len(values))])), F.lit(0))
+
+
+def _clip(c: list[Column], then) -> Column:
     """Pull a colour into the gamut along its luminosity."""
-    mid, low, high = lum(c), F.least(*c), F.greatest(*c)
     zero, one = _f(0.0), _f(1.0)
-    c = [F.when(low >= zero, v).when(F.abs(mid - low) > _f(1e-9), (mid + (v - mid) * mid / (mid - low)).cast(_FLOAT)).otherwise(mid) for v in c]
-    return [F.when(high <= one, v).when(F.abs(high - mid) > _f(1e-9), (mid + (v - mid) * (one - mid) / (high - mid)).cast(_FLOAT)).otherwise(mid) for v in c]
+
+    def high(v):
+        *c, mid, top = v
+        return then([F.when(top <= one, x).when(F.abs(top - mid) > _f(1e-9), (mid + (x - mid) * (one - mid) / (top - mid)).cast(_FLOAT)).otherwise(mid) for x in c])
+
+    def low(v):
+        *c, mid, bottom, top = v
+        raised = [F.when(bottom >= zero, x).when(F.abs(mid - bottom) > _f(1e-9), (mid + (x - mid) * mid / (mid - bottom)).cast(_FLOAT)).otherwise(mid) for x in c]
+        return _let([*raised, mid, top], high)
+
+    return _let(c, lambda c: _let([*c, lum(c), F.least(*c), F.greatest(*c)], low))
 
 
-def set_lum(c: list[Column], light: Column) -> list[Column]:
-    d = light - lum(c)
-    return _clip([v + d for v in c])
+def set_lum(c: list[Column], light: Column, then=lambda c: rgb(*c)) -> Column:
+    """A colour shifted to a luminosity and clipped; `then` makes the result of its channels."""
+    return _let([*c, light], lambda v: _clip([x + (v[3] - lum(v[:3])) for x in v[:3]], then))
 
 
 def set_sat(c: list[Column], s: Column) -> list[Column]:
@@ -134,8 +148,8 @@ def blend(backdrop: list[Column], source: list[Column], mode: str) -> Column:
     b, s = [_unit(v) for v in backdrop], [_unit(v) for v in source]
     if mode in SEPARABLE:
         return rgb(*[_byte(SEPARABLE[mode](x, y)) for x, y in zip(b, s)])
-    made = {"Hue": lambda: set_lum(set_sat(s, sat(b)), lum(b)), "Saturation": lambda: set_lum(set_sat(b, sat(s)), lum(b)), "Color": lambda: set_lum(s, lum(b)), "Luminosity": lambda: set_lum(b, lum(s))}[mode]()
-    return rgb(*[_byte(v) for v in made])
+    made = {"Hue": lambda b, s: (set_sat(s, sat(b)), lum(b)), "Saturation": lambda b, s: (set_sat(b, sat(s)), lum(b)), "Color": lambda b, s: (s, lum(b)), "Luminosity": lambda b, s: (b, lum(s))}[mode]
+    return _let([*b, *s], lambda v: set_lum(*made(v[:3], v[3:]), then=lambda c: rgb(*[_byte(x) for x in c])))
 
 
 def over(source: Column, backdrop: Column, alpha: Column) -> Column:

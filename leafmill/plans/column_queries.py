@@ -41,8 +41,11 @@ add("adler32_text", "documents", lambda d: [T.adler32(F.encode(F.substring("text
     f"cast((1 + coalesce(list_sum({_CODES}), 0)) % 65521 + 65536 * ((octet_length(encode({_HEAD})) + coalesce(list_sum({_WEIGHTED}), 0)) % 65521) as bigint) as adler32", ("doc_id",))
 add("format_real", "lineitem", lambda d: [T.format_real(d.l_extendedprice * d.l_discount).alias("text")], "case when l_extendedprice * l_discount = floor(l_extendedprice * l_discount) then cast(cast(l_extendedprice * l_discount as bigint) as varchar) else regexp_replace(regexp_replace(printf('%.6f', l_extendedprice * l_discount), '0+$', ''), '\\.$', '') end as text", LINE)
 for font, name in (("Helvetica", "helvetica"), ("Helvetica-Bold", "helvetica_bold"), ("Times-Roman", "times"), ("Courier", "courier")):
-    table = "[" + ", ".join(map(str, T.width_table(font))) + "]"
-    add(f"text_width_{name}", "documents", lambda d, font=font: [F.round(T.text_width(d.text, font, 12.0), 6).alias("width")], f"round(list_sum(list_transform(string_split(text, ''), lambda c: if(ord(c) between 32 and 126, {table}[ord(c) - 31], 500))) * 12.0 / 1000.0, 6)::double as width", ("doc_id",))
+    groups: dict[int, str] = {}
+    for i, w in enumerate(T.width_table(font)):
+        groups[w] = groups.get(w, "") + chr(32 + i).replace("'", "''")
+    total = " + ".join(["500 * length(text)", *(f"({w - 500}) * (length(text) - length(translate(text, '{chars}', '')))" for w, chars in groups.items() if w != 500)])
+    add(f"text_width_{name}", "documents", lambda d, font=font: [F.round(T.text_width(d.text, font, 12.0), 6).alias("width")], f"round(({total}) * 12.0 / 1000.0, 6)::double as width", ("doc_id",))
 add("winansi_fallback", "documents", lambda d: [T.encode_winansi_text(d.text).alias("shown")], "regexp_replace(text, '[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '?', 'g') as shown", ("doc_id",))
 add("text_string_roundtrip", "documents", lambda d: [T.decode_text_string(T.encode_text_string(d.text)).alias("text2")], "text as text2", ("doc_id",))
 add("code_split", "documents", lambda d: [F.size(T.split_codes(F.encode("lang", "UTF-8"))).alias("n"), T.split_codes(F.encode("source", "UTF-8")).alias("codes")], "cast(ceil(octet_length(encode(lang)) / 2.0) as int) as n, list_transform(range(cast(ceil(octet_length(encode(source)) / 2.0) as bigint)), lambda i: if(2 * i + 2 <= octet_length(encode(source)), ord(source[2 * i + 1]) * 256 + ord(source[2 * i + 2]), ord(source[2 * i + 1]))::int) as codes", ("doc_id",))
@@ -129,7 +132,7 @@ def _nonseparable(mode: str) -> str:
 
 for mode in C.NONSEPARABLE:
     ORACLE[f"blend_{mode.lower()}"] = _nonseparable(mode)
-add("source_over", "lineitem", lambda d: [C.over(_s(d)[0], _b(d)[0], (d.l_quantity * 5).cast("long")).alias("v")], f"cast(floor(({_SQ[0]}) * cast(trunc(l_quantity * 5) as bigint) + ({_BQ[0]}) * (255 - cast(trunc(l_quantity * 5) as bigint)) + 127) // 255 as int) as v", LINE)
+add("source_over", "lineitem", lambda d: [C.over(_s(d)[0], _b(d)[0], (d.l_quantity * 5).cast("long")).alias("v")], f"cast(floor((({_SQ[0]}) * cast(trunc(l_quantity * 5) as bigint) + ({_BQ[0]}) * (255 - cast(trunc(l_quantity * 5) as bigint)) + 127) / 255.0::double) as int) as v", LINE)
 
 # --- function objects
 add("func_type0", "lineitem", lambda d: [F.round(v, 9).alias(n) for v, n in zip(P.wrap(P.sampled([0, 255, 64, 128, 255, 0], [3], 2, decode=[(0, 1), (0, 2)], top=255.0), [(0, 1)], None)([d.l_discount * 10]), ("a", "b"))],
@@ -141,8 +144,8 @@ _PS = {
     "arith": ("{ dup mul exch 2 exp add sqrt 3 div }", "sqrt(l_tax * l_tax + l_discount * l_discount) / 3", 9),
     "atan": ("{ atan }", "case when degrees(atan2(l_discount - 0.05, l_tax - 0.04)) < 0 then degrees(atan2(l_discount - 0.05, l_tax - 0.04)) + 360 else degrees(atan2(l_discount - 0.05, l_tax - 0.04)) end", 8),
     "branch": ("{ 2 copy gt { sub } { exch sub } ifelse }", "abs(l_discount - l_tax)", 9),
-    "stack": ("{ 3 1 roll pop dup 0 lt { neg } if 1 index pop }", None, 9),
-    "round": ("{ pop 100 mul 0.5 sub round 7 idiv 3 mod }", None, 9),
+    "stack": ("{ 2 1 roll dup 0 lt { neg } if 1 index add exch pop }", "l_discount + l_tax", 9),
+    "round": ("{ pop 100 mul 3.4 add round 7 idiv 3 mod }", "(trunc(floor(l_discount * 100 + 3.4::double + 0.5) / 7) % 3)::double", 9),
     "logic": ("{ 0.04 ge exch 0.05 ge and 1 eq { 10 } { 20 } ifelse }", "case when l_tax >= 0.04 and l_discount >= 0.05 then 10.0 else 20.0 end::double", 9),
     "trig": ("{ 360 mul sin exch 360 mul cos mul }", "sin(radians(l_tax * 360)) * cos(radians(l_discount * 360))", 8),
     "logs": ("{ ln exch log add }", "(case when l_tax = 0 then 0 else ln(l_tax) end + case when l_discount = 0 then 0 else log10(l_discount) end)", 9),
