@@ -44,7 +44,7 @@ class Document:
             objects = {Ref(1, 0): {Name("Type"): Name("Catalog"), Name("Pages"): Ref(2, 0)}, Ref(2, 0): {Name("Type"): Name("Pages"), Name("Kids"): [], Name("Count"): 0}}
             trailer = {Name("Root"): Ref(1, 0)}
         self.objects, self.trailer = objects, trailer or {}
-        self._lowest = None
+        self.embedded: list = []
 
     @classmethod
     def read(cls, data: bytes, password: bytes = b"") -> Document:
@@ -52,6 +52,8 @@ class Document:
         return cls(objects, trailer, version)
 
     def write(self) -> bytes:
+        for font in self.embedded:
+            font.finish(self)
         return write_file(self.objects, self.trailer, self.version)
 
     # --- objects

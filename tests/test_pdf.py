@@ -463,6 +463,16 @@ def test_embedded_truetype_glyphs():
     assert font.cmap[65] == 1 and font.advance(1) == 1000 and len(font.contours(1)[0]) == 4
     small = TrueType(subset(font, {1}))
     assert small.contours(1) == font.contours(1) and small.count == 2 and TrueType(subset(font, set())).contours(1) == []
+    from leafmill.sources.embedding import EmbeddedFont
+
+    own = Document()
+    sheet = own.add_page(40, 40)
+    face = EmbeddedFont(own, out + body, "Square")
+    face.add_text(own, sheet, "AA\nA", 5, 25, 10)
+    raw = own.write()
+    assert own.write() == raw and face.width("AA\n", 10) == 20
+    again = Document.read(raw)
+    assert page_text(again, again.page(0)) == "AA\nA" and render_page(again, again.page(0))[10, 10, 0] == 0
     doc = Document()
     page = doc.add_page(40, 40)
     s = doc.add(Stream({}, out + body))
