@@ -128,13 +128,11 @@ def _bigrams(rows: DataFrame, ranges: int) -> DataFrame:
                 if not trained(i):
                     continue
                 ws = tokens(t)
-                for w in set(ws) - memo.keys():
-                    if len(memo) > 500_000:
-                        memo.clear()
-                        for x in set(ws):
-                            memo[x] = xxhash.xxh64_intdigest(x)
-                        break
-                    memo[w] = xxhash.xxh64_intdigest(w)
+                if len(memo) > 400_000:
+                    memo.clear()
+                for w in ws:
+                    if w not in memo:
+                        memo[w] = xxhash.xxh64_intdigest(w)
                 h = np.fromiter((memo[w] for w in ws), np.uint64, len(ws))
                 h = np.append(h, STOP)
                 first = np.zeros(len(h), bool)
