@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from leafmill.operators.fonts import Font
 from leafmill.operators.raster import Path
+from leafmill.sources import encodings
 from leafmill.sources.cff import Cff
 from leafmill.sources.codecs import FilterFault
-from leafmill.sources.document import winansi
 from leafmill.sources.syntax import Name, Ref, Stream
 from leafmill.sources.truetype import FontFault, TrueType
 
@@ -60,7 +60,9 @@ class RenderFont:
             self.program = None
         self.map = doc.value(own, "CIDToGIDMap", Stream) if self.metrics.two_byte else None
         self.map = doc.decoded(self.map) if self.map is not None else None
-        enc = doc.value(d, "Encoding", dict)
+        named, enc = doc.value(d, "Encoding", Name), doc.value(d, "Encoding", dict)
+        base = named or (doc.value(enc, "BaseEncoding", Name) if enc else None)
+        self.base = encodings.table(str(base or "WinAnsiEncoding"))
         at = 0
         for v in doc.value(enc, "Differences", list) or [] if enc else []:
             v = doc.get(v)
@@ -78,7 +80,7 @@ class RenderFont:
             return p.gid_of_cid(code) if isinstance(p, Cff) else code
         if isinstance(p, Cff):
             return code if code < len(p.glyphs) else 0
-        text = glyph_text(self.codes[code]) if code in self.codes else winansi(bytes([code & 255]))
+        text = glyph_text(self.codes[code]) if code in self.codes else self.base.get(code)
         for m in (p.cmap, *p.maps.values()):
             for c in (ord(text) if text and len(text) == 1 else -1, code, 0xF000 + code):
                 if c in m:

@@ -495,3 +495,12 @@ def test_type2_charstrings():
     _Machine(Font, [], path, (1, 0, 0, 1, 0, 0)).glyph(code)
     assert path.subs[0][0][:4] == [(10, 20), (110, 20), (110, 120), (10, 120)]
     assert Op("x", []) == Op("x", [])
+
+
+def test_encodings_and_names():
+    from leafmill.operators.glyphs import glyph_text
+    from leafmill.sources.encodings import family, table
+
+    assert table("StandardEncoding")[0x27] == "’" and table("MacRomanEncoding")[0x8A] == "ä" and table("WinAnsiEncoding")[0x80] == "€"
+    assert [glyph_text(n) for n in ("A", "eacute", "uni20AC", "u1F600", "germandbls", "nonsense")] == ["A", "é", "€", "😀", "ß", None]
+    assert family("ABCDEF+Arial-BoldItalicMT") == ("sans", True, True) and family("Unknown", 2) == ("serif", False, False) and family("CourierNew")[0] == "monospace"
