@@ -2,8 +2,8 @@
 
 The examples are a bounded sample of labelled rows. Words whose chi-square against the label shows no
 association are left out of the vectors. The index keeps, for each word, its postings in blocks of 64
-examples with the largest weight of each block; a query visits blocks by the bound these give and stops
-when no further block can reach its k nearest, so the k nearest are exact. Votes are weighted by cosine;
+examples with the largest weight of each block; a query visits the blocks of the highest bounds these give,
+then all that can still reach its k nearest, so the k nearest are exact. Votes are weighted by cosine;
 a logistic curve that is fitted to the examples' own leave-one-out votes makes them probabilities.
 """
 
@@ -23,7 +23,7 @@ from leafmill.llm.common import small_batches, stash, words
 MAX_POSITIVE, MAX_NEGATIVE, MAX_TERMS = 4_000, 8_000, 256
 #: Chi-square below which a word isn't used (one degree of freedom; about one in 100,000 by chance).
 MIN_CHI = 20.0
-BLOCK, NEAREST = 64, 15
+BLOCK, NEAREST, FIRST_BLOCKS = 64, 15, 4
 
 
 class Index:
@@ -51,8 +51,7 @@ class Index:
             rows, w = np.array([r for r, _ in p], np.int64), np.array([x for _, x in p])
             block = rows // BLOCK
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            ends = np.append(first[1:], len(rows))
-            self.postings[t] = (block[first], np.maximum.reduceat(w, first), {int(block[i]): (rows[i:j] % BLOCK, w[i:j]) for i, j in zip(first, ends)})
+            self.postings[t] = (block[first], np.maximum.reduceat(w, first), rows, w, block)
         self.blocks = -(-len(self.rows) // BLOCK)
         self.slope, self.shift = 1.0, 0.0
         self._calibrate()
@@ -64,31 +63,35 @@ class Index:
         return {t: w / norm for t, w in sorted(v.items())} if norm else {}
 
     def nearest(self, vec: dict[str, float], k: int = NEAREST, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the k nearest by cosine, then row; row `but` is left out."""
-        bound, terms = np.zeros(self.blocks), [(w, self.postings[t]) for t, w in vec.items() if t in self.postings]
-        for w, (blocks, most, _) in terms:
+        """(rows, cosines) of the k nearest by cosine, then row; row `but` is left out.
+
+        The blocks of the highest bounds are scored first; their k-th cosine then shuts out every block
+        whose bound lies below it, and the others are scored in one go.
+        """
+        terms = [(w, self.postings[t]) for t, w in vec.items() if t in self.postings]
+        if not terms:
+            return np.zeros(0, np.int64), np.zeros(0)
+        bound, score = np.zeros(self.blocks), np.zeros(len(self.rows))
+        for w, (blocks, most, *_) in terms:
             bound[blocks] += w * most
-        order = np.argsort(-bound, kind="stable")
-        rows, sims, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or len(rows) >= k and bound[b] < kth - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for w, (_, _, inside) in terms:
-                if b in inside:
-                    at, x = inside[b]
-                    score[at] += w * x
-            if but // BLOCK == b:
-                score[but % BLOCK] = 0
-            at = np.flatnonzero(score > 0)
-            rows, sims = np.concatenate([rows, at + b * BLOCK]), np.concatenate([sims, score[at]])
-            if len(rows) > k:
-                top = np.lexsort((rows, -sims))[:k]
-                rows, sims = rows[top], sims[top]
-            if len(rows) >= k:
-                kth = sims.min()
-        top = np.lexsort((rows, -sims))
-        return rows[top], sims[top]
+
+        def visit(chosen):
+            for w, (_, _, rows, x, block) in terms:
+                keep = chosen[block]
+                score[rows[keep]] += w * x[keep]
+
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        visit(first)
+        if but >= 0:
+            score[but] = 0
+        kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        visit(~first & (bound > 0) & (bound >= kth - 1e-12))
+        if but >= 0:
+            score[but] = 0
+        at = np.flatnonzero(score > 0)
+        top = at[np.lexsort((at, -score[at]))[:k]]
+        return top, score[top]
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         """Share of label 1 among neighbours, weighted by cosine and by what each example stands for."""
