@@ -12,6 +12,7 @@ from leafmill.shipping import ship
 
 #: Rows and bytes in one Arrow batch; texts can be long, so the row count is far below Spark's default.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+_stashed: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +33,18 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
+    _stashed.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table that this application stashed; call it when no result is read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _stashed:
+        path = jvm.org.apache.hadoop.fs.Path(_stashed.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Before Python work: the package on every executor, and batches of bounded size."""
     ship(spark)

@@ -22,7 +22,7 @@ def query(f):
 
 @query
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/leafmill/tokens-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/leafmill/tokens-{uuid.uuid4().hex}"  # kept: these files are the product
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read_token_files(spark, path)
 

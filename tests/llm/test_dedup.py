@@ -122,6 +122,18 @@ def test_repeated_chunks_go_and_the_rest_stays(spark):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+def test_stashed_tables_are_released(spark):
+    import glob
+
+    from leafmill.llm.common import release, shared_dir, stash
+
+    assert stash(spark.range(3), "some").count() == 3
+    there = lambda: glob.glob(shared_dir(spark).removeprefix("file://") + "/leafmill/some-*")
+    assert there()
+    release(spark)
+    assert not there()
+
+
 def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a b\nc d")], "doc_id long, text string")
     plan = line_dedup(docs)._jdf.queryExecution().toString()
