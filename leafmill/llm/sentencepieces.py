@@ -14,6 +14,7 @@ units are flagged in the fold and folded again with a restart after each merge.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from functools import lru_cache
@@ -51,6 +52,8 @@ class Model:
         self.rank = {t: r for r, t in enumerate(sorted(self.pieces, key=lambda t: (-self.score[t], self.pieces[t])))}
         self.bytes = {i: int(t[3:5], 16) for i, t in enumerate(self.text) if sp.is_byte(i)}
         self.byte_id = {b: i for i, b in self.bytes.items()}
+        # what an id stands for whatever its neighbours are; None: a byte of a longer character, or no text
+        self.plain_text = [None if sp.is_control(i) or sp.is_unknown(i) else (chr(self.bytes[i]) if self.bytes[i] < 128 else None) if i in self.bytes else t.replace(SPACE, " ") for i, t in enumerate(self.text)]
         self.longest = max(map(len, self.pieces), default=1)
         pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         known = {c for p in self.pieces if len(p) > 1 for c in p}
@@ -97,6 +100,10 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces joined, byte runs as UTF-8, spaces restored, the dummy space taken away."""
+        parts = [self.plain_text[i] for i in ids]
+        if None not in parts:
+            text = "".join(parts)
+            return text[1:] if self.dummy_prefix and text.startswith(" ") else text
         out, run = [], bytearray()
         for i in ids:
             if i in self.bytes:
@@ -278,10 +285,10 @@ def _without_prefix(m: Model, unit: str) -> list[int]:
 
 
 def sentencepiece_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_pieces, ids (array<int>), ids_crc32 (little-endian u32), decoded_ok.
+    """One row for each row of docs: id, n_pieces, ids (array<int>), ids_crc32 (little-endian u32), decoded_md5.
 
-    The ids are those of the library for the whole text; decoded_ok says whether decoding them from the piece
-    table gives the text back. Null and empty texts have no ids. Repeated rows, ids and null ids are encoded
+    The ids are those of the library for the whole text; decoded_md5 is the hash of the text that they give
+    when they are decoded by the piece table. Null and empty texts have no ids. Repeated rows, ids and null ids are encoded
     row by row; other columns are ignored; an empty table gives no rows. docs must be a repeatable scan.
     """
     small_batches(docs.sparkSession)
@@ -299,18 +306,19 @@ def sentencepiece_encode(docs: DataFrame, path: str, id_col: str = "doc_id", tex
 
     def finish(values, ids, numbers):
         own = model(path)
-        out, ok, crc = [], [], []
+        out, back, crc = [], [], []
         for x in numbers:
             got = np.frombuffer(b"".join([values[i] for i in x.tolist()]), ">u4").astype(np.int64)
             if len(got) and got.max() >= UNKNOWN:
                 got = np.array(own.expand(got.tolist()), np.int64)
             out.append(got.astype(np.int32))
             crc.append(zlib.crc32(got.astype("<u4").tobytes()))
+            back.append(hashlib.md5(own.decode(got.tolist()).encode("utf-8", "surrogatepass")).hexdigest())
         flat = np.concatenate(out) if out else np.zeros(0, np.int32)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(crc, pa.int64())], ["id", "n_pieces", "ids", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(crc, pa.int64()), pa.array(back, pa.string())], ["id", "n_pieces", "ids", "ids_crc32", "decoded_md5"])
 
-    out = by_block(block_docs(rows, split), values, finish, f"id {kind}, n_pieces long, ids array<int>, ids_crc32 long")
+    out = by_block(block_docs(rows, split), values, finish, f"id {kind}, n_pieces long, ids array<int>, ids_crc32 long, decoded_md5 string")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -37,6 +37,7 @@ def test_pieces_are_the_library_s(spark):
     want = Counter((r.doc_id, tuple(sp.encode(r.text or ""))) for r in docs.collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == want
     assert all(r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
+    assert all(r.decoded_md5 == hashlib.md5(sp.decode(r.ids).encode()).hexdigest() for r in rows)
     back = sentencepieces.sentencepiece_decode(coded, PIECES).collect()
     assert all(r.text == sp.decode(r.ids) for r in back)
     assert sentencepieces.sentencepiece_encode(table(spark, [(1, "a")]).limit(0), PIECES).count() == 0
