@@ -122,6 +122,35 @@ def test_repeated_chunks_go_and_the_rest_stays(spark):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+def test_every_repeated_run_goes(spark):
+    """Against all runs of 12 words on two lines, or 20 words, by brute force."""
+    pool = [prose(n) for n in (1, 2, 3, 5, 7, 9, 11, 13, 16, 19, 22)] + ["", " "]
+    passages = [[prose(n) for _ in range(k)] for k, n in ((3, 19), (4, 19), (6, 10), (18, 3), (60, 1))]
+    passages += [["\t".join(prose(12).split()) for _ in range(5)], ["".join(chr(0x4E00 + RNG.randrange(5000)) for _ in range(30)) for _ in range(8)], [prose(30), "", "", prose(14), "", prose(8), ""]]
+    texts = [[prose(9), *p, prose(8)] for p in passages for _ in range(3)] + [[RNG.choice(pool) for _ in range(RNG.randrange(1, 14))] for _ in range(60)]
+    dense = lambda line: sum(c >= "\u4e00" for c in line)
+    count = lambda line: -(-dense(line) // 2) if dense(line) else len(line.split())
+    seen, want = set(), []
+    for lines in texts:
+        n, gone = [count(x) for x in lines], set()
+        for s in range(len(lines)):
+            for e in range(s + 1, len(lines) + 1):
+                if sum(n[s:e]) >= 20 or sum(n[s:e]) >= 12 and e - s >= 2:
+                    run = tuple(lines[s:e])
+                    if run in seen:
+                        gone |= set(range(s, e))
+                    seen.add(run)
+        want.append(gone)
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup(docs).collect()}
+    for i, (lines, gone) in enumerate(zip(texts, want)):
+        with_words = [k for k in range(len(lines)) if lines[k].strip()]
+        kept = [lines[k] for k in with_words if k not in gone]
+        assert [x for x in got[i].text.split("\n") if x.strip()] == kept
+    for k, p in enumerate(passages):
+        assert all(got[3 * k + c].n_removed == len(p) for c in (1, 2))
+
+
 def test_stashed_tables_are_released(spark):
     import glob
 
