@@ -1,7 +1,7 @@
 """Toxicity (operator 10): votes of the nearest labelled examples by exact TF-IDF cosine.
 
-The examples are a bounded sample of labelled rows. Words whose chi-square against the label shows no
-association, or one of less than a small effect, are left out of the vectors. The index keeps, for each word, its postings in blocks of 64
+The examples are a bounded sample of labelled rows. Every word whose chi-square against the label shows an
+association is in the vectors; the cosine is that of these words. The index keeps, for each word, its postings in blocks of 64
 examples with the largest weight of each block; a query visits the blocks of the highest bounds these give,
 then all that can still reach its k nearest, so the k nearest are exact. Votes are weighted by cosine;
 a logistic curve that is fitted to the examples' own leave-one-out votes makes them probabilities.
@@ -19,12 +19,10 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import small_batches, stash, words
 
-#: Bounds of the fitted model: labelled rows of each class, words of the vectors.
-MAX_POSITIVE, MAX_NEGATIVE, MAX_TERMS = 4_000, 8_000, 256
+#: Bounds of the fitted model: labelled rows of each class.
+MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
 #: Chi-square below which a word isn't used (one degree of freedom; about one in 100,000 by chance).
 MIN_CHI = 20.0
-#: Least phi squared (chi-square over examples): a phi of 0.1 is what is called a small effect.
-MIN_PHI2 = 0.01
 BLOCK, NEAREST, FIRST_BLOCKS = 64, 15, 4
 
 
@@ -149,7 +147,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, label int, term array<string>, n array<long>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_terms: int = MAX_TERMS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Index:
     """Fit the examples and their index.
 
     Of labelled rows at most max_positive of label 1 and max_negative of others are taken, in the order of a
@@ -175,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     cross = a * (neg - (d - a)) - (d - a) * (pos - a)
     chi = F.when((d > 0) & (d < n), F.lit(float(n)) * cross * cross / (F.lit(float(max(pos, 1)) * max(neg, 1)) * d * (n - d)))
     words_df = counts.select("label", F.explode("term").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("df"))
-    terms = words_df.withColumn("chi", chi).where((F.col("chi") >= max(MIN_CHI, MIN_PHI2 * n)) & (F.col("df") >= 3)).orderBy(F.desc("chi"), "term").limit(max_terms).collect()
+    terms = words_df.withColumn("chi", chi).where((F.col("chi") >= MIN_CHI) & (F.col("df") >= 2)).orderBy(F.desc("chi"), "term").collect()
     idf = {r.term: math.log((1 + n) / (1 + r.df)) + 1 for r in terms}
     use = set(idf)
 

@@ -168,6 +168,20 @@ def test_toxic_words_are_learned(spark):
     assert toxicity.score(docs.limit(0), index).count() == 0
 
 
+def test_rare_toxic_words_count_in_large_samples(spark):
+    """300 words, each in 12 of 1,000 toxic examples and in none of 2,000 others."""
+    bad = [[f"bad{i}" for i in range(300) if (j - 3 * i) % 1000 < 12] for j in range(1000)]
+    plain = lambda: " ".join(f"w{RNG.randrange(300)}" for _ in range(10))
+    rows = [(j, " ".join([plain(), *words])) for j, words in enumerate(bad)] + [(j, plain()) for j in range(1000, 3000)]
+    labels = spark.createDataFrame([(j, int(j < 1000)) for j in range(3000)], "doc_id long, toxic int")
+    new = [(5000 + i, f"bad{i} {plain()}") for i in range(300)] + [(6000 + i, plain()) for i in range(50)]
+    docs = spark.createDataFrame(rows + new, "doc_id long, text string")
+    index = toxicity.fit(docs, labels)
+    assert all(f"bad{i}" in index.idf for i in range(300))
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs.where("doc_id >= 5000"), index).collect()}
+    assert all(got[5000 + i] == 1 for i in range(300)) and not any(got[6000 + i] for i in range(50))
+
+
 @pytest.mark.parametrize("levels", [1, 2, 3])
 def test_quantised_levels(levels):
     assert scoring.quantise(np.array([1 << (levels - 1)])).tolist() == [levels]
