@@ -17,7 +17,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import small_batches
@@ -87,9 +87,14 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def as_events(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece: int = 512) -> DataFrame:
-    """A conversation table as a log: an `open` event for each row, then its text in deltas of `piece` characters."""
+    """A conversation table as a log: an `open` event for each row, then its text in deltas of `piece` characters.
+
+    Every row is a message of its own, with its number in its conversation as slot: rows stand in the order of
+    turn, role and text, nulls first. So rows that share a turn, repeated rows and null turns all stay.
+    """
     text = F.coalesce(turns[text_col].cast("string"), F.lit(""))
-    base = turns.select(turns[conv_col].alias("conv_id"), turns[turn_col].cast("long").alias("slot"), turns[role_col].cast("string").alias("role"), text.alias("text"))
+    base = turns.select(turns[conv_col].alias("conv_id"), turns[turn_col].cast("long").alias("turn"), turns[role_col].cast("string").alias("role"), text.alias("text"))
+    base = base.withColumn("slot", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
     n = F.ceil(F.length("text") / F.lit(piece)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(
         i.alias("k"), F.when(i == 0, "open").otherwise("delta").alias("kind"),

@@ -64,3 +64,13 @@ def test_tables_become_logs(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: chat.read_back(r.formatted) for r in chat.chat(chat.as_events(turns)).collect()}
     assert got == {1: [("user", ""), ("assistant", "x" * 1300)], 2: [("", "")]}
+
+
+def test_rows_that_share_a_turn_stay_apart(spark):
+    long = ["a" * 1300, "b" * 1300]
+    rows = [(1, 0, "user", long[1]), (1, 0, "assistant", long[0]), (1, 1, "user", "x"), (1, 1, "user", "x"), (2, None, "user", long[1]), (2, None, "user", long[0]), (2, 0, None, "z"), (None, 3, "user", "p"), (None, 3, "user", "q")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.chat(chat.as_events(turns))
+    got = {r.conv_id: chat.read_back(r.formatted) for r in made.collect()}
+    assert got == {1: [("assistant", long[0]), ("user", long[1]), ("user", "x"), ("user", "x")], 2: [("user", long[0]), ("user", long[1]), ("", "z")], None: [("user", "p"), ("user", "q")]}
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(made).collect()} == {1: (4, 1300), 2: (3, 0), None: (2, 0)}
