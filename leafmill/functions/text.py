@@ -89,10 +89,15 @@ def format_real(v: Column) -> Column:
 
 def adler32(raw: Column) -> Column:
     """Adler-32 of bytes. The second sum is a weighted sum of the first, so both fold over an array at once."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long"))
-    codes = F.when(F.length(raw) > 0, codes).otherwise(F.array().cast("array<bigint>"))
-    start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    return F.aggregate(codes, start, lambda s, x: F.struct(((s.a + x) % 65521).alias("a"), ((s.b + s.a + x) % 65521).alias("b")), lambda s: s.b * 65536 + s.a)
+
+    def of(raw):
+        codes = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long"))
+        codes = F.when(F.length(raw) > 0, codes).otherwise(F.array().cast("array<bigint>"))
+        start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+        return F.aggregate(codes, start, lambda s, x: F.struct(((s.a + x) % 65521).alias("a"), ((s.b + s.a + x) % 65521).alias("b")), lambda s: s.b * 65536 + s.a)
+
+    # as a lambda's variable the bytes are computed once, not for each of them
+    return F.element_at(F.transform(F.array(raw), of), 1)
 
 
 def parse_number(text: Column) -> Column:

@@ -39,6 +39,8 @@ _CODES = f"list_transform(range(octet_length(encode({_HEAD}))), lambda i: ('0x'
 _WEIGHTED = f"list_transform(range(octet_length(encode({_HEAD}))), lambda i: (octet_length(encode({_HEAD})) - i) * ('0x' || substring(hex({_HEAD}), 2 * i + 1, 2))::bigint)"
 add("adler32_text", "documents", lambda d: [T.adler32(F.encode(F.substring("text", 1, 400), "UTF-8")).alias("adler32")],
     f"cast((1 + coalesce(list_sum({_CODES}), 0)) % 65521 + 65536 * ((octet_length(encode({_HEAD})) + coalesce(list_sum({_WEIGHTED}), 0)) % 65521) as bigint) as adler32", ("doc_id",))
+#: Whole texts; the same form in DuckDB is too slow for them, tests hold it against zlib.
+add("adler32_whole_text", "documents", lambda d: [T.adler32(F.encode("text", "UTF-8")).alias("adler32")], None, ("doc_id",))
 add("format_real", "lineitem", lambda d: [T.format_real(d.l_extendedprice * d.l_discount).alias("text")], "case when l_extendedprice * l_discount = floor(l_extendedprice * l_discount) then cast(cast(l_extendedprice * l_discount as bigint) as varchar) else regexp_replace(regexp_replace(printf('%.6f', l_extendedprice * l_discount), '0+$', ''), '\\.$', '') end as text", LINE)
 for font, name in (("Helvetica", "helvetica"), ("Helvetica-Bold", "helvetica_bold"), ("Times-Roman", "times"), ("Courier", "courier")):
     groups: dict[int, str] = {}

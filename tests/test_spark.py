@@ -74,3 +74,11 @@ def test_hot_path_has_no_python(spark):
 def test_flagship(spark):
     rows = registry.flagship(spark, SF).collect()
     assert sum(r.docs for r in rows) == 200 and all(r.hits >= 0 for r in rows)
+
+
+def test_checksums_of_whole_texts(spark):
+    import zlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.adler32 for r in registry.QUERIES["adler32_whole_text"](spark, SF).collect()}
+    assert got == {i: zlib.adler32(t.encode()) for i, t in texts.items()} and max(map(len, texts.values())) > 400
