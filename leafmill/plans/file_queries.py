@@ -154,6 +154,17 @@ def broken_startxref(spark, sf_dir):
     return tables.page_texts(broken, pages={0}).join(one, "doc_id").select("doc_id", "text")
 
 
+@query(ORACLE["pdf_roundtrip_text"])
+def broken_startxref_pages(spark, sf_dir):
+    """The same for files of any length: the text of all pages of every rebuilt file."""
+    f = files_of(spark, sf_dir)
+    broken = f.select("doc_id", F.expr("unhex(regexp_replace(hex(content), '(7374617274787265660A)([0-9]+)(0A2525454F460A)$', '$139393939393939$3'))").alias("content"))
+    x = tables.page_texts(broken).where("error is null and text <> ''")
+    x = x.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "text"))).alias("p"))
+    have = x.select("doc_id", F.array_join(F.transform("p", lambda q: q.text), "\n").alias("text"))
+    return docs_of(spark, sf_dir).select("doc_id").join(have, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _with_navigation(doc: Document):
     from leafmill.sources.syntax import Name, Str
 

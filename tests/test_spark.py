@@ -82,3 +82,13 @@ def test_checksums_of_whole_texts(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r.adler32 for r in registry.QUERIES["adler32_whole_text"](spark, SF).collect()}
     assert got == {i: zlib.adler32(t.encode()) for i, t in texts.items()} and max(map(len, texts.values())) > 400
+
+
+def test_long_files_are_rebuilt_with_all_pages(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{SF}/documents.parquet'")
+    want = con.sql(registry.ORACLE["broken_startxref_pages"]).fetchall()
+    got = {r.doc_id: r.text for r in registry.QUERIES["broken_startxref_pages"](spark, SF).collect()}
+    assert got == dict(want) and len(got) == con.sql("select count(*) from documents").fetchall()[0][0]
+    assert any(t.count("\n") > 50 for t in got.values())
