@@ -1,13 +1,17 @@
 """Language-model scoring (operator 7): a log-frequency Bloom filter of quantised bigram counts.
 
-A bigram of count c enters the filter under the levels 1 .. floor(log2 c) + 1; repeated membership probes,
-level after level until one fails, give its quantised count, never more than c but for false positives. The filter
-has a segment for each range of bigram hashes, sized by what the segment holds. Segments are broadcast in
-groups of bounded size; a group scores the tokens whose bigram falls into it, and the groups' sums add up.
-
-p(w | v) = s * count(v w) / count(v) + (1 - s) * p(w); p(w) is the smoothed unigram share of the base score,
-s = 1 - (bigrams seen once) / (bigram tokens) is the Good-Turing share of what was seen before. For a
-history without counts p(w | v) = p(w).
+A bigram of count c enters the filter under the levels 1 .. floor(2 log2 c) + 1; repeated membership probes,
+level after level until one fails, give its quantised count: the least count of its level, never more than c but for
+false positives. The filter has a segment for each range of bigram hashes, sized by what the segment holds.
+
+A filter of at most `broadcast_bytes` is broadcast to the workers, which probe it as they score. A larger one
+stays where its segments were made: each block of documents sends its distinct bigrams to the segments of
+their ranges, which probe them and send the counts back. Both ways give the same scores.
+
+p(w | v) = s * q(v w) / count(v) + (1 - s * r) * p(w); p(w) is the smoothed unigram share of the base score,
+s = 1 - (bigrams seen once) / (bigram tokens) is the Good-Turing share of what was seen before, q the quantised
+count and r the share of all bigram tokens that quantised counts keep: what they lose goes to p(w), so that over the
+histories of the corpus probabilities add up to one. For a history without counts p(w | v) = p(w).
 """
 
 from __future__ import annotations
@@ -17,18 +21,18 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.blocks import block_docs, block_units, by_block, planes, unplanes
+from leafmill.llm.blocks import Block, Values, block_docs, block_units, by_block, list_values, pack_values, planes, scan, squeeze, unplanes, unsqueeze, whole
 from leafmill.llm.common import small_batches, stash
 
-#: Bits of a bigram hash, filter bits for each entry, probes, and bytes of the segments broadcast at once.
-KEY_BITS, ENTRY_BITS, PROBES, GROUP_BYTES = 44, 12, 6, 192 << 20
+#: Filter bits for each entry, probes, and bytes of a filter that is broadcast.
+ENTRY_BITS, PROBES, BROADCAST_BYTES = 14, 7, 192 << 20
 #: Tokens after which a scan hands out the bigrams it has counted.
 FLUSH = 2_000_000
-_KEY = np.uint64((1 << KEY_BITS) - 1)
+#: Seed of token hashes, the one that Spark's xxhash64 has.
+SEED = 42
 START, STOP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -51,11 +55,39 @@ def bigram_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Hash of each token with the one before it; first marks tokens that begin a text."""
     before = np.concatenate([[START], h[:-1]])
     before[first] = START
-    return _mix(before * np.uint64(0x9E3779B97F4A7C15) + h) & _KEY
+    return _mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
+
+
+def text_keys(texts: list[list[bytes]], memo: dict[bytes, int]) -> np.ndarray:
+    """Bigram hashes of some texts, the end of each among their tokens."""
+    if len(memo) > 400_000:
+        memo.clear()
+    for w in set().union(*texts).difference(memo):
+        memo[w] = xxhash.xxh64_intdigest(w, SEED)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    h = np.full(int(sizes.sum()), STOP, np.uint64)
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(h), bool)
+    inside[ends - 1] = False
+    h[inside] = np.fromiter((memo[w] for t in texts for w in t), np.uint64, int(inside.sum()))
+    first = np.zeros(len(h), bool)
+    first[ends - sizes] = True
+    return bigram_keys(h, first)
+
+
+#: floor(2 log2 c) + 1 is the number of these that are at most c; the least count of a level.
+_LEVELS = np.array([-(-(2 ** (k / 2)) // 1) for k in range(126)])
+_LEAST = _LEVELS.astype(np.int64)
 
 
 def quantise(c: np.ndarray) -> np.ndarray:
-    return np.frexp(c.astype(np.float64))[1].astype(np.int64)  # floor(log2 c) + 1
+    """Level of each count."""
+    return np.searchsorted(_LEVELS, c.astype(np.float64), "right")
+
+
+def least(level: np.ndarray) -> np.ndarray:
+    """Least count of each level; 0 of level 0."""
+    return np.where(level > 0, _LEAST[np.maximum(level, 1) - 1], 0)
 
 
 def _probe(keys: np.ndarray, level, bits: np.ndarray) -> list[np.ndarray]:
@@ -76,11 +108,15 @@ def segment(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     return size, np.packbits(bits, bitorder="little").tobytes()
 
 
+def _shift(ranges: int) -> np.uint64:
+    return np.uint64(64 - (ranges.bit_length() - 1))
+
+
 class Filter:
-    """A group of segments."""
+    """Segments of some ranges."""
 
     def __init__(self, ranges: int, rows: list[tuple[int, int, bytes]]):
-        self.shift = np.uint64(KEY_BITS - (ranges.bit_length() - 1))
+        self.shift = _shift(ranges)
         self.size, self.base, self.own = np.ones(ranges, np.uint64), np.zeros(ranges, np.int64), np.zeros(ranges, bool)
         raw, at = [], 0
         for r, size, data in rows:
@@ -89,9 +125,11 @@ class Filter:
             at += len(data)
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised count of each bigram as the least count of its level; 0: not there."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Level of each bigram; 0: not there."""
         out = np.zeros(len(keys), np.int64)
+        if not len(self.raw):
+            return out
         live, level = np.arange(len(keys)), 1
         while len(live):
             k = keys[live]
@@ -99,17 +137,26 @@ class Filter:
             there = self.own[r]
             for at in _probe(k, level, self.size[r]):
                 at = at + self.base[r]
-                if len(self.raw):
-                    there &= (self.raw[np.where(there, at >> 3, 0)] >> (at & 7) & 1).astype(bool)
+                there &= (self.raw[np.where(there, at >> 3, 0)] >> (at & 7) & 1).astype(bool)
             live = live[there]
-            out[live] = 1 << (level - 1)
+            out[live] = level
             level += 1
         return out
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised count of each bigram; 0: not there."""
+        return least(self.levels(keys))
+
+
+def _by_range(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, begin, end) of sorted keys."""
+    r = (keys >> _shift(ranges)).astype(np.int64)
+    edge = np.flatnonzero(np.diff(r, prepend=-1, append=-1)).tolist()
+    return [(int(r[i]), i, j) for i, j in zip(edge, edge[1:])]
+
 
 def _bigrams(rows: DataFrame, ranges: int) -> DataFrame:
     """range, blob: sorted bigram hashes of training documents with their counts, in compact pieces."""
-    shift = np.uint64(KEY_BITS - (ranges.bit_length() - 1))
 
     def run(batches):
         memo: dict[bytes, int] = {}
@@ -117,58 +164,109 @@ def _bigrams(rows: DataFrame, ranges: int) -> DataFrame:
 
         def flush():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            r = (keys >> shift).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            ends = np.append(first[1:], len(r))
-            blobs = [planes(np.diff(keys[i:j], prepend=np.uint64(0))) + planes(n[i:j].astype("<u4")) for i, j in zip(first, ends)]
-            return pa.RecordBatch.from_arrays([pa.array(r[first].astype(np.int32)), pa.array(blobs, pa.binary())], ["range", "blob"])
+            found = _by_range(keys, ranges)
+            blobs = [squeeze(planes(np.diff(keys[i:j], prepend=np.uint64(0))), planes(n[i:j].astype("<u4"))) for _, i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in found], pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not trained(i):
-                    continue
-                ws = tokens(t)
-                if len(memo) > 400_000:
-                    memo.clear()
-                for w in ws:
-                    if w not in memo:
-                        memo[w] = xxhash.xxh64_intdigest(w)
-                h = np.fromiter((memo[w] for w in ws), np.uint64, len(ws))
-                h = np.append(h, STOP)
-                first = np.zeros(len(h), bool)
-                first[0] = True
-                held.append(bigram_keys(h, first))
-                size += len(h)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
+            texts = [tokens(t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if trained(i)]
+            if texts:
+                held.append(text_keys(texts, memo))
+                size += len(held[-1])
+            if size >= FLUSH:
+                yield flush()
+                held, size = [], 0
         if held:
             yield flush()
 
     return rows.select("id", "text").mapInArrow(run, "range int, blob binary")
 
 
-def _segments(blobs: DataFrame) -> DataFrame:
-    """range, bits, data, once, tokens: a filter segment for each range."""
+def _segments(blobs: DataFrame, parts: int) -> DataFrame:
+    """range, bits, data, once, tokens, kept: a filter segment for each range; a task holds one range at a time."""
+
+    def run(batches):
+        now, keys, counts = None, [], []
+
+        def done():
+            k, n = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(k, kind="stable")
+            k, n = k[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            k, n = k[first], np.add.reduceat(n, first)
+            size, data = segment(k, n)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([size], pa.int64()), pa.array([data], pa.binary()), pa.array([int((n == 1).sum())], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([int(least(quantise(n)).sum())], pa.int64())], ["range", "bits", "data", "once", "tokens", "kept"])
+
+        for b in batches:
+            for r, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if r != now:
+                    if keys:
+                        yield done()
+                    now, keys, counts = r, [], []
+                k, n = unsqueeze(raw)
+                keys.append(np.cumsum(unplanes(k, "<u8"), dtype=np.uint64))
+                counts.append(unplanes(n, "<u4").astype(np.int64))
+        if keys:
+            yield done()
 
-    def run(key, t):
-        keys, counts = [], []
-        for raw in t.column("blob").to_pylist():
-            m = len(raw) // 12
-            keys.append(np.cumsum(unplanes(raw[: 8 * m], "<u8"), dtype=np.uint64))
-            counts.append(unplanes(raw[8 * m :], "<u4").astype(np.int64))
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
-        size, data = segment(keys, counts)
-        return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([size], pa.int64()), "data": pa.array([data], pa.binary()), "once": pa.array([int((counts == 1).sum())], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
+    return blobs.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(run, "range int, bits long, data binary, once long, tokens long, kept long")
 
-    return blobs.groupBy("range").applyInArrow(run, "range int, bits long, data binary, once long, tokens long")
 
+def _asked(rows: DataFrame, ranges: int) -> DataFrame:
+    """range, block, payload: distinct sorted bigram hashes of each block of documents."""
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    def run(batches):
+        memo: dict[bytes, int] = {}
+        held = []
+
+        def number(block: Block, texts: list[str]):
+            split = [tokens(t) for t in texts]
+            held.append(np.unique(text_keys(split, memo)))
+            return [block.add(x) for x in split]
+
+        def on_end(block):
+            if held:
+                keys = np.unique(np.concatenate(held))
+                found = _by_range(keys, ranges)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in found], pa.int32()), pa.array([block.number] * len(found), pa.int64()), pa.array([squeeze(planes(np.diff(keys[i:j], prepend=np.uint64(0)))) for _, i, j in found], pa.binary())], ["range", "block", "payload"])
+
+        yield from scan(batches, number, lambda ids, numbers: (), on_end)
+
+    return rows.select("id", "text").mapInArrow(run, "range int, block long, payload binary")
+
+
+def _answered(asked: DataFrame, segments: DataFrame, ranges: int, parts: int) -> DataFrame:
+    """block, payload: what was asked with the level of each bigram, from the segment of its range."""
+    rows = asked.selectExpr("range", "1 as kind", "block", "payload").unionByName(segments.selectExpr("range", "0 as kind", "bits as block", "data as payload"))
+
+    def run(batches):
+        now, own = None, Filter(ranges, [])
+        for b in batches:
+            blocks, out = [], []
+            for r, kind, block, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if r != now:
+                    now, own = r, Filter(ranges, [])
+                if kind == 0:
+                    own = Filter(ranges, [(r, block, raw)])
+                    continue
+                gaps = unsqueeze(raw)[0]
+                blocks.append(block)
+                out.append(squeeze(gaps, own.levels(np.cumsum(unplanes(gaps, "<u8"), dtype=np.uint64)).astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], ["block", "payload"])
+
+    return rows.repartition(parts, "range").sortWithinPartitions("range", "kind").mapInArrow(run, "block long, payload binary")
+
+
+def _counted(b):
+    """For pack_values: count and hash of a unit for each of its places."""
+    offsets, at = list_values(b.column(0))
+    row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+    pairs = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], 1)[row]
+    return at, np.full(len(at), 16, np.int64), np.ascontiguousarray(pairs.astype("<i8")).view(np.uint8).reshape(-1)
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(id as text) mod 5 isn't 1 (null ids are learned from) and scores all.
@@ -179,77 +277,69 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    read = rows.rdd.getNumPartitions()
     if ranges is None:  # a power of two that follows the input, so that a segment stays of one size
-        ranges = 1 << max(6, min(12, (rows.rdd.getNumPartitions() - 1).bit_length()))
-    known = block_units(rows, tokens, binary=True, counted=trained)
-    known = stash(known, "lm-units")
-    totals = known.groupBy("unit").agg(F.sum("n").alias("value"))
-    size = totals.where("value > 0").agg(F.count("*").alias("v"), F.sum("value").alias("n")).first()
-    ids = rows.select("id")
+        ranges = 1 << max(6, (4 * read - 1).bit_length())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * read)
+    number = whole(tokens)
+    # the places of a common token fill a row for each 4,096 partitions of the scan, dealt by token and those
+    known = block_units(rows, number, binary=True, counted=trained).withColumn("h", F.xxhash64("unit", F.shiftright("at", 53)))
+    known = known.repartition(parts, "h").groupBy("h", "unit").agg(F.sum("n").alias("n"), F.collect_list("at").alias("at"))
+    if read <= 4096:  # then a token has one row
+        known = stash(known.select("at", "n", F.xxhash64("unit").alias("hash")), "lm-units")
+        total = known
+    else:
+        known = stash(known.drop("h"), "lm-units")
+        total = known.groupBy("unit").agg(F.sum("n").alias("n"))
+        known = known.drop("n").join(total, "unit").select("at", "n", F.xxhash64("unit").alias("hash"))
+    size = total.where("n > 0").agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
 
     def train_docs(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([trained(i.as_py()) for i in b.column(0)], pa.bool_())], ["t"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(trained(i) for i in b.column(0).to_pylist())], pa.int64())], ["t"])
 
-    ends = ids.mapInArrow(train_docs, "t boolean").where("t").count()
+    ends = rows.select("id").mapInArrow(train_docs, "t long").agg(F.sum("t").alias("t")).first().t or 0
     n_all, n_kinds = (size.n or 0) + ends, size.v + (ends > 0)
-    values = known.select("block", "pos", "unit").join(totals, "unit").select("block", "pos", F.col("value").alias("c"), "unit")
-    # a unit's count and its hash travel as one value
-    packed = values.select("block", "pos", F.concat(F.unhex(F.lpad(F.hex("c"), 16, "0")), "unit").alias("value"))
-    segments = stash(_segments(_bigrams(rows, ranges)), "lm-filter")
-    seen = segments.agg(F.sum("once").alias("once"), F.sum("tokens").alias("tokens")).first()
+    segments = stash(_segments(_bigrams(rows, ranges), parts), "lm-filter")
+    seen = segments.agg(F.sum("once").alias("once"), F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept"), F.sum(F.length("data")).alias("bytes")).first()
     share = 1 - seen.once / seen.tokens if seen.tokens else 0.0
-    groups, held, weight = [], [], 0
-    for r in segments.select("range", F.length("data").alias("n")).orderBy("range").collect():
-        if held and weight + r.n > group_bytes:
-            groups.append(held)
-            held, weight = [], 0
-        held.append(r["range"])
-        weight += r.n
-    groups.append(held)
-    numbered = block_docs(rows, tokens)
-    if len(groups) > 1:
-        numbered, packed = stash(numbered, "lm-docs"), stash(packed, "lm-values")
+    rest = 1 - share * (seen.kept / seen.tokens if seen.tokens else 0.0)
+    small = (seen.bytes or 0) <= broadcast_bytes
+    shared = spark.sparkContext.broadcast(Filter(ranges, [(r["range"], r.bits, bytes(r.data)) for r in segments.select("range", "bits", "data").collect()])) if small else None
+    answers = None if small else _answered(_asked(rows, ranges), segments, ranges, parts)
+
+    def finish(values: Values, ids, lens, numbers):
+        if values.ready is None:
+            both = values.data.view("<i8").reshape(-1, 2)[values.starts // 16]
+            got = [unsqueeze(p) for p in values.more]
+            got = [(np.cumsum(unplanes(k, "<u8"), dtype=np.uint64), np.frombuffer(n, np.uint8)) for k, n in got]
+            got.sort(key=lambda x: int(x[0][0]))
+            told = tuple(np.concatenate(x) for x in zip(*got)) if got else None
+            values.ready = (np.append(both[:, 0], ends), np.append(both[:, 1].astype(np.int64).view(np.uint64), STOP), told)
+        counts, hashes, told = values.ready
+        stop = len(counts) - 1
+        sizes = lens + 1
+        last = np.cumsum(sizes) - 1
+        flat = np.full(int(sizes.sum()), stop, np.int64)
+        inside = np.ones(len(flat), bool)
+        inside[last] = False
+        flat[inside] = numbers
+        start = last + 1 - sizes
+        first = np.zeros(len(flat), bool)
+        first[start] = True
+        c = counts[flat]
+        base = (c + 0.5) / (n_all + 0.5 * (n_kinds + 1))
+        keys = bigram_keys(hashes[flat], first)
+        history = np.concatenate([[0], c[:-1]])
+        history[first] = ends
+        found = shared.value.counts(keys) if small else least(told[1][np.searchsorted(told[0], keys)].astype(np.int64))
+        p = np.where(history > 0, share * np.minimum(found, history) / np.maximum(history, 1) + rest * base, base)
+        score = np.add.reduceat(np.log10(p), start)
+        plain = np.add.reduceat(np.log10(base), start)
+        n_known = np.add.reduceat((c > 0).astype(np.int64), start)
+        return pa.RecordBatch.from_arrays([ids, pa.array([not trained(i) for i in ids.to_pylist()], pa.bool_()), pa.array(sizes), pa.array(n_known), pa.array(np.full(len(sizes), n_all, np.int64)), pa.array(plain), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     kind = docs.schema[id_col].dataType.simpleString()
-    out = None
-    for g, group in enumerate(groups):
-        data = [(r["range"], r.bits, bytes(r.data)) for r in segments.where(F.col("range").isin(group)).select("range", "bits", "data").collect()] if group else []
-        shared = spark.sparkContext.broadcast(Filter(ranges, data))
-
-        def finish(values, ids, numbers, shared=shared, first_group=g == 0):
-            bloom = shared.value
-            if not hasattr(finish, "memo") or finish.memo[0] is not values:
-                raw = np.frombuffer(b"".join(v[:8] for v in values), ">i8").astype(np.int64)
-                finish.memo = (values, np.append(raw, ends), np.append(np.fromiter((xxhash.xxh64_intdigest(v[8:]) for v in values), np.uint64, len(values)), STOP))
-            _, counts, hashes = finish.memo
-            stop = len(counts) - 1
-            sizes = np.array([len(x) + 1 for x in numbers], np.int64)
-            flat = np.concatenate([np.append(x.astype(np.int64), stop) for x in numbers])
-            start = np.cumsum(sizes) - sizes
-            first = np.zeros(len(flat), bool)
-            first[start] = True
-            c = counts[flat]
-            base = (c + 0.5) / (n_all + 0.5 * (n_kinds + 1))
-            keys = bigram_keys(hashes[flat], first)
-            history = np.concatenate([[0], c[:-1]])
-            history[first] = ends
-            own = bloom.own[(keys >> bloom.shift).astype(np.int64)]
-            both = np.minimum(bloom.counts(keys), history)
-            p = np.where(history > 0, share * both / np.maximum(history, 1) + (1 - share) * base, base)
-            # ranges without a segment hold no bigram: their tokens count in the first group
-            mine = own if not first_group else own | ~present[(keys >> bloom.shift).astype(np.int64)]
-            score = np.add.reduceat(np.where(mine, np.log10(p), 0.0), start)
-            plain = np.add.reduceat(np.log10(base), start)
-            n_known = np.add.reduceat((c > 0).astype(np.int64), start)
-            held_out = [not trained(i.as_py()) for i in ids]
-            return pa.RecordBatch.from_arrays([ids, pa.array(held_out, pa.bool_()), pa.array(sizes), pa.array(n_known), pa.array(np.full(len(sizes), n_all, np.int64)), pa.array(plain), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        present = np.zeros(ranges, bool)
-        present[[r for x in groups for r in x]] = True
-        part = by_block(numbered, packed, finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-        out = part if out is None else out.unionByName(part)
-    if len(groups) > 1:
-        # a document has one row of each group; rows that agree in all are scored alike and part by their number
-        out = out.groupBy("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").agg(F.sum("score").alias("score"), F.count("*").alias("rows"))
-        out = out.withColumn("copies", (F.col("rows") / len(groups)).cast("int")).withColumn("score", F.col("score") / F.col("copies")).withColumn("c", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("rows", "copies", "c")
+    values = pack_values(known.select("at", "n", "hash"), _counted)
+    out = by_block(block_docs(rows, number), values, finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", answers)
     return out.withColumnRenamed("id", id_col)

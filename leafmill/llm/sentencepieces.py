@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding (operator 2) over a relational lattice.
 
-A text is cut into units that no piece crosses. Of each distinct unit all substrings up to the longest
-piece are exploded and joined to the piece table; the edges that this leaves are grouped by unit and
-folded by Spark's `aggregate`. The ids return to the documents by block (`leafmill.llm.blocks`).
+A text is cut into units wherever two neighbouring characters stand together in no piece: no piece crosses
+such a place. Of each distinct unit all substrings up to the longest piece are exploded and equi-joined to
+the piece table; the edges that this leaves are grouped by unit and folded by Spark's `aggregate`. The ids
+return to the documents by block (`leafmill.llm.blocks`).
 
 For a unigram model the fold is Viterbi's: best score of each position from the edges that end there.
 A BPE model defines its result by merges, not by the best path, and Viterbi over its scores gives other
@@ -15,17 +16,17 @@ units are flagged in the fold and folded again with a restart after each merge.
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.blocks import block_docs, block_units, by_block
+from leafmill.llm.blocks import Block, Values, block_docs, block_units, by_block, list_values, pack_values, ranges
 from leafmill.llm.common import small_batches
 
 SPACE = "▁"
@@ -33,8 +34,8 @@ SPACE = "▁"
 UNIT_CHARS = 60
 #: Ids from here on stand for characters without a piece, by their code point.
 UNKNOWN = 1 << 26
-#: Distinct units of one lattice task.
-TASK_UNITS = 60_000
+#: Words whose units a scan remembers, and numbers or ids that are looked up at once.
+MEMO_WORDS, SLICE = 400_000, 250_000
 
 
 class Model:
@@ -56,24 +57,70 @@ class Model:
         self.plain_text = [None if sp.is_control(i) or sp.is_unknown(i) else (chr(self.bytes[i]) if self.bytes[i] < 128 else None) if i in self.bytes else t.replace(SPACE, " ") for i, t in enumerate(self.text)]
         self.longest = max(map(len, self.pieces), default=1)
         pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        known = {c for p in self.pieces if len(p) > 1 for c in p}
-        # signs that no piece holds behind a letter begin a unit of their own
-        signs = [c for c in ".,;:!?%$#&*()[]\"" if not any(q[1] == c and q[0].isalpha() for q in pairs)]
-        alone = "\n" if "\n" not in known else ""
-        crossed = any(q[1] == SPACE and q[0] != SPACE for q in pairs)
-        stop = re.escape("".join(signs))
-        letters = f"{SPACE}*[^\\W\\d_]+(?=[{stop}])|" if signs else ""
-        self.unit = re.compile(".+" if crossed else f"{letters}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|{alone}" if alone else ""), re.S)
+        #: Pairs of characters that stand together in some piece, as sorted numbers.
+        self.pairs = np.array(sorted(ord(p[0]) << 21 | ord(p[1]) for p in pairs), np.int64)
+        # words between single spaces can be cut alone if none ends in a piece that goes on behind a space
+        self.by_word = self.dummy_prefix and not any(q[1] == SPACE for q in pairs if q[0] != SPACE)
+        self.char_id = np.full(0x110000, -1, np.int32)
+        for t, i in self.pieces.items():
+            if len(t) == 1:
+                self.char_id[ord(t)] = i
+        # texts of ids as bytes; ids whose text hangs on their neighbours are marked
+        shown = [b"" if t is None else t.encode() for t in self.plain_text]
+        self.shown, self.shown_len = np.frombuffer(b"".join(shown), np.uint8), np.array([len(t) for t in shown], np.int64)
+        self.shown_at = np.cumsum(self.shown_len) - self.shown_len
+        self.odd = np.array([t is None for t in self.plain_text], bool)
+        # the same model for text that is normal already: a later message's fields replace the earlier one's
+        bare = b"".join(bytes([f << 3, 0]) for f in (3, 4, 5)) + bytes([2 << 3 | 2, 0])
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=sp.serialized_model_proto() + bytes([3 << 3 | 2, len(bare)]) + bare)
 
     def normal(self, text: str) -> str:
+        """What the library cuts into pieces: spaces escaped, the dummy prefix in front, normalised by its rules."""
         if not text:
             return ""
         if not self.plain:
-            raise NotImplementedError("models that normalise text go through the library")
+            return self.sp.normalize(text)
         return ((SPACE if self.dummy_prefix else "") + text).replace(" ", SPACE)
 
-    def units(self, text: str) -> list[str]:
-        return self.unit.findall(self.normal(text))
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """(units of normal texts that aren't empty, how many each text has)."""
+        if not texts:
+            return [], np.zeros(0, np.int64)
+        all_of = "".join(texts)
+        code = np.frombuffer(all_of.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(lens) - lens
+        pair = code[:-1] << 21 | code[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
+        begins = np.concatenate([[True], self.pairs[at] != pair if len(self.pairs) else np.ones(len(pair), bool)])
+        begins[starts] = True
+        edge = np.flatnonzero(begins).tolist()
+        return [all_of[i:j] for i, j in zip(edge, [*edge[1:], len(all_of)])], np.add.reduceat(begins.astype(np.int64), starts)
+
+    def number(self, block: Block, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of the units of some texts; words that a block has met before aren't cut again."""
+        memo, parts, rest = block.memo, [], []
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        for k, t in enumerate(texts):
+            whole = None if self.plain and self.by_word else self.normal(t)
+            if self.by_word and not self.plain:  # back to words between spaces
+                t = whole[1:].replace(SPACE, " ") if whole[:1] == SPACE else ""
+            if t and self.by_word and "  " not in t and t[0] != " " and t[-1] != " " and SPACE not in t:
+                parts.append(t.split(" "))
+            else:
+                parts.append(None)
+                rest.append((k, self.normal(t) if whole is None else whole))
+        new = list(set().union(*(p for p in parts if p)).difference(memo))
+        units, counts = self.cut([SPACE + w for w in new])
+        raw = block.add(units).astype("<u4").tobytes()
+        ends = (4 * np.cumsum(counts)).tolist()
+        for w, i, j in zip(new, [0, *ends], ends):
+            memo[w] = raw[i:j]
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, p)), "<u4") if p else np.zeros(0, np.uint32) for p in parts]
+        for k, t in rest:
+            out[k] = block.add(self.cut([t])[0]) if t else out[k]
+        return out
 
     def late(self, piece: str) -> bool:
         """Whether a merge of worse ranked halves can make this piece."""
@@ -86,16 +133,14 @@ class Model:
 
     def expand(self, ids: list[int]) -> list[int]:
         """Replace characters without a piece by their bytes, or by the unknown id."""
-        if not any(i >= UNKNOWN for i in ids):
-            return ids
-        out = []
+        out, unk = [], self.sp.unk_id()
         for i in ids:
-            if i < UNKNOWN:
-                out.append(i)
-            elif self.byte_id:
+            if i >= UNKNOWN and self.byte_id:
                 out.extend(self.byte_id[b] for b in chr(i - UNKNOWN).encode("utf-8", "surrogatepass"))
-            elif not out or out[-1] != self.sp.unk_id():
-                out.append(self.sp.unk_id())
+            elif i < UNKNOWN and (i != unk or self.byte_id):
+                out.append(i)
+            elif not out or out[-1] != unk:  # a run of unknown characters is one id
+                out.append(unk)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -178,25 +223,34 @@ def model(path: str) -> Model:
 
 
 def piece_table(spark: SparkSession, m: Model) -> DataFrame:
-    """piece, edge (rank, late flag and id in one bigint), score; as many rows as the model file has pieces."""
-    rows = [(t, (m.rank[t] << 40) | (int(m.bpe and m.late(t)) << 27) | i, float(m.score[t])) for t, i in m.pieces.items()]
-    return spark.createDataFrame(rows, "piece string, edge long, score double")
+    """name (hash of the piece), piece, edge (rank, late flag and id in one bigint), score: pieces of two characters or more, and for unigram models all.
+
+    As many rows as the model file has pieces.
+    """
+    rows = [(t, (m.rank[t] << 40) | (int(m.bpe and m.late(t)) << 27) | i, float(m.score[t])) for t, i in m.pieces.items() if len(t) > 1 or not m.bpe]
+    return spark.createDataFrame(rows, "piece string, edge long, score double").select(F.xxhash64("piece").alias("name"), "piece", "edge", "score")
+
 
+def spans(least: int, longest: int) -> str:
+    """SQL of an array of arrays: for each length of a unit, 1,024 * start + length of its substrings, and 0 first."""
+    of = [[0, *(s << 10 | k for s in range(n) for k in range(least, min(longest, n - s) + 1))] for n in range(UNIT_CHARS + 1)]
+    return f"from_json('{json.dumps(of)}', 'array<array<int>>')"  # one literal, not a tree of thousands
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit, part, carried, edges: explode bounded substrings, equi-join the piece table, group by unit.
 
-    Edges are bigints, sorted: rank (23 bits), start (6), end (6), late flag (1), id (27).
-    Characters without a piece get an edge with an id from UNKNOWN on and the worst rank.
+def lattice(units: DataFrame, pieces: DataFrame, least: int, longest: int, edge: str) -> DataFrame:
+    """unit, at, edges: explode bounded substrings, equi-join the piece table, group by unit.
+
+    units: h, unit, at; dealt by h, so that nothing is shuffled here. A unit has one row without a substring that carries
+    it through the join; units that are too long have no other. `edge` is the SQL of an edge (null: no edge).
+    The join is on the hash of the piece, with the piece itself compared behind it.
     """
-    sub = "flatten(transform(sequence(0, char_length(unit) - 1), s -> transform(sequence(1, least(%d, char_length(unit) - s)), k -> named_struct('s', s, 'k', k))))" % longest
-    x = units.selectExpr("unit", "part", "carried", f"explode({sub}) as x")
-    x = x.selectExpr("unit", "part", "if(x.s = 0 and x.k = 1, carried, null) as carried", "x.s as s", "x.k as k", "substring(unit, x.s + 1, x.k) as piece")
-    x = x.join(F.broadcast(pieces), "piece", "left").where("edge is not null or k = 1")  # a fixed model's pieces
-    place = "shiftleft(cast(s as bigint), 34) | shiftleft(cast(s + k as bigint), 28)"
-    packed = f"if(edge is null, shiftleft(8388607L, 40) | {place} | ({UNKNOWN} + cast(ascii(piece) as bigint)), edge | {place})"
-    x = x.selectExpr("unit", "part", "carried", f"{packed} as edge")
-    return x.groupBy("unit", "part").agg(F.first("carried", ignorenulls=True).alias("carried"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    x = units.withColumn("uid", F.monotonically_increasing_id()).withColumn("x", F.explode(F.expr(f"get({spans(least, longest)}, if(char_length(unit) > {UNIT_CHARS}, 0, char_length(unit)))")))
+    x = x.selectExpr("h", "uid", "if(x = 0, unit, null) as unit", "if(x = 0, at, null) as at", "shiftright(x, 10) as s", "x & 1023 as k", "substring(unit, shiftright(x, 10) + 1, x & 1023) as sub")
+    x = x.withColumn("name", F.expr("if(k = 0, null, xxhash64(sub))"))
+    same = F.expr("startswith(sub, piece) and octet_length(sub) <= octet_length(piece)")
+    x = x.join(F.broadcast(pieces.withColumnRenamed("name", "of")), (F.col("name") == F.col("of")) & same, "left").where(f"edge is not null or k <= {2 - least}")  # a fixed model's pieces
+    x = x.selectExpr("h", "uid", "unit", "at", f"if(k = 0, null, {edge}) as edge")
+    return x.groupBy("h", "uid").agg(F.first("unit", ignorenulls=True).alias("unit"), F.first("at", ignorenulls=True).alias("at"), F.collect_list("edge").alias("edges")).drop("h", "uid")
 
 
 _S, _E = "cast(shiftright(x, 34) & 63 as int)", "cast(shiftright(x, 28) & 63 as int)"
@@ -218,70 +272,121 @@ def bpe_fold(edges: str = "edges", n: str = "char_length(unit)") -> tuple[str, s
     return once, exact
 
 
-def segment_ids(edges: str = "edges", b: str = "b") -> str:
-    """SQL of the ids of the edges that lie between neighbouring boundaries, in order of place."""
-    final = f"filter({edges}, x -> {_ENDS} and {_INSIDE} = 0)".replace("shiftright(b", f"shiftright({b}").replace("(b &", f"({b} &")
-    by_place = f"array_sort(transform({final}, x -> shiftleft(cast({_S} as bigint), 40) | (x & 134217727L)))"
-    return f"transform({by_place}, y -> cast(y & 134217727L as int))"
-
+def bpe_units(units: DataFrame, pieces: DataFrame, m: Model) -> DataFrame:
+    """unit, at, edges, b (null: too long) of a BPE lattice: b has a bit for each boundary that the fold leaves.
 
-def bpe_units(edges: DataFrame) -> DataFrame:
-    """unit, carried, ids of a BPE lattice."""
+    Edges are bigints: rank (23 bits), start (6), end (6), late flag (1), id (27). Single characters have none.
+    """
+    place = "shiftleft(cast(s as bigint), 34) | shiftleft(cast(s + k as bigint), 28)"
+    x = lattice(units, pieces, 2, m.longest, f"edge | {place}").withColumn("edges", F.sort_array("edges"))
     once, exact = bpe_fold()
-    x = edges.selectExpr("unit", "carried", "edges", f"{once} as f")
-    x = x.selectExpr("unit", "carried", "edges", f"inline(array(named_struct('b', if(f.bad, {exact}, f.b))))")
-    return x.selectExpr("unit", "carried", f"{segment_ids()} as ids")
+    x = x.selectExpr("unit", "at", "edges", f"if(char_length(unit) > {UNIT_CHARS}, null, {once}) as f")
+    return x.selectExpr("unit", "at", "edges", f"inline(array(named_struct('b', if(f.bad, {exact}, f.b))))")
+
+
+def bpe_ids(m: Model, units: list[str], offsets: np.ndarray, edges: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many each unit has): edges and single characters between neighbouring boundaries, in order of place.
+
+    A character without a piece gets UNKNOWN and its code point.
+    """
+    n = np.fromiter(map(len, units), np.int64, len(units))
+    code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    row, at = np.repeat(np.arange(len(n)), n), ranges(np.zeros(len(n), np.int64), n)
+    alone = np.flatnonzero(b[row] >> at & 3 == 3)
+    of = np.repeat(np.arange(len(n)), np.diff(offsets))
+    s, e, left = edges >> 34 & 63, edges >> 28 & 63, b[of]
+    merged = np.flatnonzero((left >> s & left >> e & 1 == 1) & (left & ((1 << e) - (2 << s)) == 0))
+    one = m.char_id[code[alone]]
+    ids = np.concatenate([np.where(one >= 0, one, UNKNOWN + code[alone]), edges[merged] & (1 << 27) - 1])
+    place = np.concatenate([row[alone] << 6 | at[alone], of[merged] << 6 | s[merged]])
+    order = np.argsort(place, kind="stable")
+    return ids[order], np.bincount(place >> 6, minlength=len(n))
 
 
 def viterbi_units(units: DataFrame, pieces: DataFrame, m: Model) -> DataFrame:
-    """unit, carried, ids of a unigram lattice: best path by score, the first found on ties."""
+    """unit, at, ids (null: too long) of a unigram lattice: best path by score, the first found on ties."""
     worst = min(m.score.values(), default=0.0) - 10.0
-    sub = "flatten(transform(sequence(0, char_length(unit) - 1), s -> transform(sequence(1, least(%d, char_length(unit) - s)), k -> named_struct('s', s, 'k', k))))" % m.longest
-    x = units.selectExpr("unit", "part", "carried", f"explode({sub}) as x")
-    x = x.selectExpr("unit", "part", "if(x.s = 0 and x.k = 1, carried, null) as carried", "x.s as s", "x.k as k", "substring(unit, x.s + 1, x.k) as piece")
-    x = x.join(F.broadcast(pieces), "piece", "left").where("edge is not null or k = 1")
-    x = x.selectExpr("unit", "part", "carried", "named_struct('e', s + k, 's', s, 'score', coalesce(score, %r), 'id', if(edge is null, %d + ascii(piece), cast(edge & 67108863L as int))) as edge" % (worst, UNKNOWN))
-    g = x.groupBy("unit", "part").agg(F.first("carried", ignorenulls=True).alias("carried"), F.array_sort(F.collect_list("edge")).alias("edges"))
+    edge = "named_struct('e', s + k, 's', s, 'score', coalesce(score, %r), 'id', if(edge is null, %d + ascii(sub), cast(edge & 67108863L as int)))" % (worst, UNKNOWN)
+    g = lattice(units, pieces, 1, m.longest, edge).withColumn("edges", F.array_sort("edges"))
     # best[i]: score, start of the last edge and its id, for the path to position i; edges come by end, then start
     init = "array(named_struct('score', cast(0 as double), 's', -1, 'id', -1))"
     better = "if(size(a) <= x.e, concat(a, array(named_struct('score', a[x.s].score + x.score, 's', x.s, 'id', x.id))), if(a[x.s].score + x.score > a[x.e].score, concat(slice(a, 1, x.e), array(named_struct('score', a[x.s].score + x.score, 's', x.s, 'id', x.id))), a))"
-    best = g.selectExpr("unit", "carried", f"inline(array(named_struct('best', aggregate(edges, {init}, (a, x) -> {better}))))")
+    best = g.selectExpr("unit", "at", f"inline(array(named_struct('best', aggregate(edges, {init}, (a, x) -> {better}))))")
     back = "aggregate(sequence(1, size(best) - 1), named_struct('at', size(best) - 1, 'ids', cast(array() as array<int>)), (a, i) -> if(a.at <= 0, a, named_struct('at', best[a.at].s, 'ids', concat(array(best[a.at].id), a.ids))), a -> a.ids)"
-    return best.selectExpr("unit", "carried", f"{back} as ids")
+    return best.selectExpr("unit", "at", f"if(size(best) = 1, null, {back}) as ids")
 
 
 def encode_units(units: DataFrame, path: str) -> DataFrame:
-    """unit, carried, ids (array<int>) for distinct (unit, part); `carried` is any column that goes along."""
-    m, spark = model(path), units.sparkSession
-    pieces = piece_table(spark, m)
-    short = units.where(F.char_length("unit") <= UNIT_CHARS)
-    edges = short if not m.bpe else lattice(short, pieces, m.longest)
-    done = bpe_units(edges) if m.bpe else viterbi_units(short, pieces, m)
-    carried = units.schema["carried"].dataType.simpleString()
-
-    def library(batches):
-        own = model(path)
-        for b in batches:
-            # a unit is encoded behind a unit that ends before it: the dummy prefix is its own first space
-            ids = []
-            for u in b.column(0).to_pylist():
-                got = own.sp.encode(u.replace(SPACE, " "))
-                if own.dummy_prefix:
-                    if u.startswith(SPACE):
-                        got = own.sp.encode(u[1:].replace(SPACE, " ")) if len(u) > 1 else [own.pieces[SPACE]]
-                    else:
-                        got = _without_prefix(own, u)
-                ids.append(got)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["unit", "carried", "ids"])
-
-    long = units.where(F.char_length("unit") > UNIT_CHARS).select("unit", "carried").mapInArrow(library, f"unit string, carried {carried}, ids array<int>")
-    return done.unionByName(long)
-
-
-def _without_prefix(m: Model, unit: str) -> list[int]:
-    """Ids of a unit that doesn't begin with a space: encoded behind a line end, which merges with nothing."""
-    mark = m.sp.encode("\n")
-    return m.sp.encode("\n" + unit.replace(SPACE, " "))[len(mark) :]
+    """unit, at and what their ids follow from, for distinct units with their places (h, unit, at); see `unit_ids`."""
+    m = model(path)
+    return (bpe_units if m.bpe else viterbi_units)(units, piece_table(units.sparkSession, m), m)
+
+
+def unit_ids(m: Model, b) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many each unit has) of a record batch of `encode_units`; units that are too long go through the library."""
+    units, result = b.column(0).to_pylist(), b.column(b.num_columns - 1)
+    long = np.flatnonzero(result.is_null().to_numpy(zero_copy_only=False)).tolist()
+    offsets, values = list_values(b.column(2))
+    if m.bpe:
+        ids, lens = bpe_ids(m, units, offsets, values, result.fill_null(0).to_numpy())
+    else:
+        code = np.where(values >= UNKNOWN, values - UNKNOWN, 0)
+        ids, lens = np.where((values >= UNKNOWN) & (m.char_id[code] >= 0), m.char_id[code], values), np.diff(offsets)
+    if long:
+        every = np.split(ids, np.cumsum(lens)[:-1])
+        for i in long:
+            every[i] = np.array(m.bare.encode(units[i]), np.int64)
+        ids, lens = np.concatenate(every), np.array([len(x) for x in every], np.int64)
+    return ids, lens
+
+
+def _packer(path: str):
+    """For pack_values: the ids of a unit, as little-endian u4, for each of its places."""
+
+    def flat(b):
+        ids, lens = unit_ids(model(path), b)
+        offsets, at = list_values(b.column(1))
+        row = np.repeat(np.arange(len(lens)), np.diff(offsets))
+        data = ids[ranges((np.cumsum(lens) - lens)[row], lens[row])].astype("<u4")
+        return at, 4 * lens[row], data.view(np.uint8)
+
+    return flat
+
+
+def _finish(path: str):
+    """For by_block: the ids of each document, their hash, and the hash of the text they give."""
+
+    def finish(values: Values, ids, lens, numbers):
+        m, vocabulary = model(path), values.data.view("<u4")
+        parts, took = [], []
+        for i in range(0, len(numbers), SLICE):
+            x = numbers[i : i + SLICE]
+            took.append(values.lens[x] // 4)
+            parts.append(vocabulary[ranges(values.starts[x] // 4, took[-1])])
+        tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        before = np.concatenate([[0], np.cumsum(np.concatenate(took))]) if took else np.zeros(1, np.int64)
+        edge = before[np.concatenate([[0], np.cumsum(lens)])]
+        docs, back, crc = [], [], []
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            own, text = tokens[i:j], hashlib.md5()
+            if len(own) and (int(own.max()) >= UNKNOWN or (not m.byte_id and (own == m.sp.unk_id()).any())):
+                own = np.array(m.expand(own.tolist()), "<u4")
+            if m.odd[own].any():
+                text.update(m.decode(own.tolist()).encode("utf-8", "surrogatepass"))
+            else:
+                for k in range(0, len(own), SLICE):
+                    x = own[k : k + SLICE]
+                    raw = m.shown[ranges(m.shown_at[x], m.shown_len[x])].tobytes()
+                    text.update(raw[1:] if not k and m.dummy_prefix and raw[:1] == b" " else raw)
+            docs.append(own)
+            crc.append(zlib.crc32(own.tobytes()))
+            back.append(text.hexdigest())
+        sizes = np.array([len(x) for x in docs], np.int64)
+        flat = np.concatenate(docs).astype(np.int32) if docs else np.zeros(0, np.int32)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(crc, pa.int64()), pa.array(back, pa.string())], ["id", "n_pieces", "ids", "ids_crc32", "decoded_md5"])
+
+    return finish
 
 
 def sentencepiece_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,42 +396,25 @@ def sentencepiece_encode(docs: DataFrame, path: str, id_col: str = "doc_id", tex
     when they are decoded by the piece table. Null and empty texts have no ids. Repeated rows, ids and null ids are encoded
     row by row; other columns are ignored; an empty table gives no rows. docs must be a repeatable scan.
     """
-    small_batches(docs.sparkSession)
-    m = model(path)
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    split = _splitter(path)
-    units = block_units(rows, split)
-    # at most 4,096 blocks list their place under one unit; more make a further row of that unit
+    number = _number(path)
+    # the places of a common unit fill a row for each 4,096 partitions of the scan, dealt by unit and those
+    units = block_units(rows, number).withColumn("h", F.xxhash64("unit", F.shiftright("at", 53)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
-    placed = units.withColumn("part", F.shiftright("block", 32)).repartition(parts, "unit").groupBy("unit", "part").agg(F.collect_list(F.struct("block", "pos")).alias("carried"))
-    coded = encode_units(placed, path)
-    values = coded.select("ids", F.explode("carried").alias("at")).select("at.block", "at.pos", F.expr("unhex(array_join(transform(ids, i -> lpad(hex(i), 8, '0')), ''))").alias("value"))
+    placed = units.repartition(parts, "h").groupBy("h", "unit").agg(F.collect_list("at").alias("at"))
+    values = pack_values(encode_units(placed, path), _packer(path))
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def finish(values, ids, numbers):
-        own = model(path)
-        out, back, crc = [], [], []
-        for x in numbers:
-            got = np.frombuffer(b"".join([values[i] for i in x.tolist()]), ">u4").astype(np.int64)
-            if len(got) and got.max() >= UNKNOWN:
-                got = np.array(own.expand(got.tolist()), np.int64)
-            out.append(got.astype(np.int32))
-            crc.append(zlib.crc32(got.astype("<u4").tobytes()))
-            back.append(hashlib.md5(own.decode(got.tolist()).encode("utf-8", "surrogatepass")).hexdigest())
-        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(crc, pa.int64()), pa.array(back, pa.string())], ["id", "n_pieces", "ids", "ids_crc32", "decoded_md5"])
-
-    out = by_block(block_docs(rows, split), values, finish, f"id {kind}, n_pieces long, ids array<int>, ids_crc32 long, decoded_md5 string")
+    out = by_block(block_docs(rows, number), values, _finish(path), f"id {kind}, n_pieces long, ids array<int>, ids_crc32 long, decoded_md5 string")
     return out.withColumnRenamed("id", id_col)
 
 
-def _splitter(path: str):
-    def split(text: str) -> list[str]:
-        return model(path).units(text)
+def _number(path: str):
+    def number(block: Block, texts: list[str]) -> list[np.ndarray]:
+        return model(path).number(block, texts)
 
-    return split
+    return number
 
 
 def sentencepiece_decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
