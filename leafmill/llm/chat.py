@@ -5,6 +5,7 @@ Events of a conversation, in the order of their sequence numbers:
   delta  appends text to message `slot`
   edit   replaces the text of message `slot` and drops every later message
   redo   empties message `slot` (a regeneration) and drops every later message; deltas follow
+Events of any other kind, or of none, say nothing about messages and change nothing.
 
 Template: a turn is `<|turn|>role\n` text `<|end|>\n`. Backslashes and line ends in roles become `\\` and `\n`. In roles and texts `<|` becomes `<\|` and a
 backslash run between `<` and `|` gains one backslash, which reading takes away again; so no text can
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +61,6 @@ def fold(events: list[tuple]) -> list[list]:
         elif kind in ("edit", "redo"):
             out[at[slot]][1] = [text] if kind == "edit" else []
             del out[at[slot] + 1 :]
-        else:
-            raise ValueError(f"unknown event {kind!r}")
     return [[role, "".join(parts)] for role, parts, _ in out]
 
 
@@ -107,8 +106,9 @@ def chat(events: DataFrame, learn: str = "assistant") -> DataFrame:
 
     Columns: conv_id, seq (any sortable value), kind, slot, role, text. A conversation is partitioned by its
     id and sorted by seq; ties are folded in the order of kind, slot, role and text ("open" is put first),
-    repeated events act twice, null texts and roles are empty. A null conv_id is a conversation of its own.
-    An empty log gives no rows. A task holds one conversation at a time.
+    repeated events act twice, null texts and roles are empty, a null slot is a slot like any other, unknown
+    kinds are passed over. All rows without a conv_id are one conversation, whose id is null. An empty log gives no rows.
+    Ids keep their type and value, whatever nulls stand beside them. A task holds one conversation at a time.
     """
     small_batches(events.sparkSession, 2000)
     kind = events.schema["conv_id"].dataType.simpleString()
@@ -116,40 +116,43 @@ def chat(events: DataFrame, learn: str = "assistant") -> DataFrame:
     rows = events.select("conv_id", "seq", "kind", "slot", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "seq", F.when(F.col("kind") == "open", 0).otherwise(1), "kind", "slot", "role", "text").select("conv_id", "kind", "slot", "role", "text")
 
     def run(batches):
-        now, held, first = None, [], True
+        now, held, first, typed = None, [], True, None
 
-        def done(conv):
-            messages = fold(held)
-            text, spans = render(messages, learn)
-            return (conv, text, [list(s) for s in spans])
+        def table(done):
+            texts = [render(fold(events), learn) for _, events in done]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], typed), pa.array([t for t, _ in texts], pa.string()), pa.array([[list(x) for x in spans] for _, spans in texts], pa.list_(pa.list_(pa.int64())))], ["conv_id", "formatted", "spans"])
 
         for b in batches:
-            out = []
-            for conv, *event in zip(*(b[c].astype(object).where(b[c].notna(), None) for c in b.columns)):
+            typed, done = b.schema.field(0).type, []
+            for conv, *event in zip(*(c.to_pylist() for c in b.columns)):
                 if first or conv != now:
                     if not first:
-                        out.append(done(now))
+                        done.append((now, held))
                     now, held, first = conv, [], False
                 held.append(tuple(event))
-            if out:
-                yield pd.DataFrame(out, columns=["conv_id", "formatted", "spans"])
+            if done:
+                yield table(done)
         if not first:
-            yield pd.DataFrame([done(now)], columns=["conv_id", "formatted", "spans"])
+            yield table([(now, held)])
 
-    return rows.mapInPandas(run, f"conv_id {kind}, formatted string, spans array<array<long>>")
+    return rows.mapInArrow(run, f"conv_id {kind}, formatted string, spans array<array<long>>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What can be read back from formatted conversations: turns, text under the loss mask, and their hashes."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
+    def sha(text):
+        return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
     def run(batches):
         for b in batches:
             out = []
-            for conv, text, spans in zip(b["conv_id"], b["formatted"], b["spans"]):
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 turns = read_back(text)
                 learned = "".join(unescape(text[i:j]) for i, j in spans)
-                out.append((conv, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest(), len(learned), hashlib.sha256(learned.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                out.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), sha(learned), len(text)))
+            made = [pa.array([r[k] for r in out], pa.string() if k in (1, 3) else pa.int64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "spans").mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "spans").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -74,3 +74,34 @@ def test_rows_that_share_a_turn_stay_apart(spark):
     got = {r.conv_id: chat.read_back(r.formatted) for r in made.collect()}
     assert got == {1: [("assistant", long[0]), ("user", long[1]), ("user", "x"), ("user", "x")], 2: [("user", long[0]), ("user", long[1]), ("", "z")], None: [("user", "p"), ("user", "q")]}
     assert {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(made).collect()} == {1: (4, 1300), 2: (3, 0), None: (2, 0)}
+
+
+def brute_fold(events):
+    """Messages by a list that is edited in place, the last one of a slot first."""
+    out = []
+    for kind, slot, role, text in events:
+        hit = [k for k, m in enumerate(out) if m[2] == slot]
+        if kind == "open":
+            out = out[: hit[-1]] if hit else out
+            out.append([role or "", text or "", slot])
+        elif hit and kind == "delta":
+            out[hit[-1]][1] += text or ""
+        elif hit and kind in ("edit", "redo"):
+            out[hit[-1]][1] = (text or "") if kind == "edit" else ""
+            out = out[: hit[-1] + 1]
+    return [(r, t) for r, t, _ in out]
+
+
+def test_large_ids_nulls_and_unknown_kinds(spark):
+    """Ids that a double can't hold beside null ones; kinds that don't exist; a fold of its own to compare with."""
+    rng, log = random.Random(5), []
+    for conv in (None, 2**60 + 1, 2**60 + 2, -(2**63), 7):
+        for seq in range(60):
+            log.append((conv, seq, rng.choice(["open", "delta", "delta", "delta", "edit", "redo", "nonsense", None]), rng.choice([0, 1, 2, 2**60 + 1, None]), rng.choice(["user", None, "assistant"]), rng.choice(["a", "<|b", None, "c\n"])))
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, slot long, role string, text string")
+    made = chat.chat(events)
+    got = {r.conv_id: chat.read_back(r.formatted) for r in made.collect()}
+    assert got == {c: brute_fold([e[2:] for e in log if e[0] == c]) for c in {e[0] for e in log}}
+    assert {r.conv_id: r.n_turns for r in chat.digests(made).collect()} == {c: len(m) for c, m in got.items()}
+    text = chat.chat(events.selectExpr("string(conv_id) as conv_id", "seq", "kind", "slot", "role", "text"))
+    assert {r.conv_id for r in text.collect()} == {None if e[0] is None else str(e[0]) for e in log}
