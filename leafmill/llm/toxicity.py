@@ -1,9 +1,12 @@
 """Toxicity (operator 10): votes of the nearest labelled examples by exact TF-IDF cosine.
 
-The examples are a bounded sample of labelled rows. Every word whose chi-square against the label shows an
-association is in the vectors; the cosine is that of these words. The index keeps, for each word, its postings in blocks of 64
-examples with the largest weight of each block; a query visits the blocks of the highest bounds these give,
-then all that can still reach its k nearest, so the k nearest are exact. Votes are weighted by cosine;
+The examples are a bounded sample of labelled rows; every word that stands in any of them is in the vectors and in
+their norms. A word weighs (1 + ln tf) * idf * its association with the label, a smooth function of chi-square between
+LEAST and 1 which no word fails; so the few words that tell the labels apart aren't drowned by hundreds that don't.
+
+The index keeps postings of words in blocks of 64 examples. Rare words are added up exactly, word by word; for common
+ones each block has the largest weight of each word. A query scores blocks in the order of the bounds that these
+give, and stops when no further block can reach its k nearest, so the k nearest are exact. Votes are weighted by cosine;
 a logistic curve that is fitted to the examples' own leave-one-out votes makes them probabilities.
 """
 
@@ -14,84 +17,143 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.blocks import ranges
 from leafmill.llm.common import small_batches, stash, words
 
 #: Bounds of the fitted model: labelled rows of each class.
 MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
-#: Chi-square below which a word isn't used (one degree of freedom; about one in 100,000 by chance).
-MIN_CHI = 20.0
-BLOCK, NEAREST, FIRST_BLOCKS = 64, 15, 4
+#: Weight of a word that has nothing to do with the label, and the chi-square at which a word weighs half.
+LEAST, HALF_CHI = 0.02, 20.0
+BLOCK, NEAREST, VISIT = 64, 15, 4
+#: A word in this share of the examples is common; texts that are compared together.
+COMMON, TOGETHER = 1 / 8, 64
+
+
+class Terms:
+    """Hashes of the distinct words of texts with their counts."""
+
+    def __init__(self):
+        self.memo: dict[bytes, int] = {}
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        c, memo = Counter(words(text)), self.memo
+        if len(memo) > 400_000:
+            memo.clear()
+        for w in c:
+            if w not in memo:
+                memo[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(memo.__getitem__, c), np.uint64, len(c)), np.fromiter(c.values(), np.int64, len(c))
 
 
 class Index:
     """Block-max inverted index of labelled vectors."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], idf: dict[str, float], weight: tuple[float, float]):
-        """examples: (id, label, term counts); weight: rows that an example of label 0 and 1 stands for."""
-        self.idf, self.weight = idf, weight
-        vectors = [(self.vector(tf), label, i) for i, label, tf in examples]
-        # alike vectors stand side by side: blocks get tight bounds
-        vectors.sort(key=lambda v: (sorted(v[0].items(), key=lambda x: -x[1])[:2], v[2]))
-        blank = [v for v in vectors if not v[0]]
-        self.rows = [v for v in vectors if v[0]]
-        self.ids = np.array([v[2] for v in self.rows], np.int64)
-        self.labels = np.array([v[1] for v in self.rows], np.int64)
-        got = [sum(weight[v[1]] for v in blank if v[1] == k) for k in (0, 1)]
-        self.prior = sum(weight[1] for v in vectors if v[1]) / max(1e-9, sum(weight[v[1]] for v in vectors))
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight: tuple[float, float]):
+        """examples: (id, label, word hashes, counts); weight: rows that an example of label 0 and 1 stands for."""
+        self.weight, self.slope, self.shift = weight, 1.0, 0.0
+        n, labels = len(examples), np.array([e[1] for e in examples], np.int64)
+        pos = int(labels.sum())
+        flat = np.concatenate([e[2] for e in examples]) if n else np.zeros(0, np.uint64)
+        self.names, number = np.unique(flat, return_inverse=True)
+        of = np.repeat(np.arange(n), [len(e[2]) for e in examples])
+        df = np.bincount(number, minlength=len(self.names)).astype(np.float64)
+        bad = np.bincount(number, labels[of], minlength=len(self.names))
+        cross = bad * (n - pos - (df - bad)) - (df - bad) * (pos - bad)
+        chi = n * cross * cross / np.maximum(max(pos, 1) * max(n - pos, 1) * df * (n - df), 1e-9)
+        chi[df >= n] = 0
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * (LEAST + (1 - LEAST) * chi / (chi + HALF_CHI))
+        vectors = [self.vector(e[2], e[3]) for e in examples]
+        blank = [k for k, (t, _) in enumerate(vectors) if not len(t)]
+        got = [sum(weight[labels[k]] for k in blank if labels[k] == x) for x in (0, 1)]
+        self.prior = float(weight[1] * pos / max(1e-9, weight[1] * pos + weight[0] * (n - pos)))
         self.blank = (got[1] + self.prior) / (got[0] + got[1] + 1)
-        postings: dict[str, list] = {}
-        for row, (vec, _, _) in enumerate(self.rows):
-            for t, w in vec.items():
-                postings.setdefault(t, []).append((row, w))
-        self.postings = {}
-        for t, p in postings.items():
-            rows, w = np.array([r for r, _ in p], np.int64), np.array([x for _, x in p])
-            block = rows // BLOCK
-            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            self.postings[t] = (block[first], np.maximum.reduceat(w, first), rows, w, block)
-        self.blocks = -(-len(self.rows) // BLOCK)
-        self.slope, self.shift = 1.0, 0.0
-        self._calibrate()
-        self.seen: dict[tuple, tuple] = {}
-
-    def vector(self, tf: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items() if t in self.idf}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in sorted(v.items())} if norm else {}
-
-    def nearest(self, vec: dict[str, float], k: int = NEAREST, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the k nearest by cosine, then row; row `but` is left out.
-
-        The blocks of the highest bounds are scored first; their k-th cosine then shuts out every block
-        whose bound lies below it, and the others are scored in one go.
-        """
-        terms = [(w, self.postings[t]) for t, w in vec.items() if t in self.postings]
-        if not terms:
+        common = df >= max(8, COMMON * n)
+
+        def alike(k):  # examples with the same heaviest shared words stand side by side: blocks get tight bounds
+            t, w = vectors[k]
+            shared = common[t]
+            t, w = t[shared], w[shared]
+            return (*t[np.lexsort((t, -w))[:3]].tolist(), examples[k][0])
+
+        order = sorted((k for k in range(n) if len(vectors[k][0])), key=alike)
+        self.ids, self.labels = np.array([examples[k][0] for k in order], np.int64), labels[order] if order else labels[:0]
+        self.blocks = -(-len(order) // BLOCK)
+        rows = np.repeat(np.arange(len(order)), [len(vectors[k][0]) for k in order])
+        term = np.concatenate([vectors[k][0] for k in order]) if order else np.zeros(0, np.int64)
+        value = np.concatenate([vectors[k][1] for k in order]) if order else np.zeros(0)
+        # common words: a column of a dense matrix each; their largest weight in each block
+        self.column = np.full(len(self.names), -1, np.int64)
+        self.column[common] = np.arange(int(common.sum()))
+        dense = common[term]
+        matrix = np.zeros((self.blocks * BLOCK, int(common.sum())))
+        matrix[rows[dense], self.column[term[dense]]] = value[dense]
+        self.dense = matrix.reshape(self.blocks, BLOCK, -1)
+        self.most = self.dense.max(1) if self.blocks else np.zeros((0, matrix.shape[1]))
+        # other words: postings, word after word
+        rows, term, value = rows[~dense], term[~dense], value[~dense]
+        by = np.argsort(term, kind="stable")
+        self.rows, self.values = rows[by].astype(np.int32), value[by]
+        self.lens = np.bincount(term, minlength=len(self.names))
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def vector(self, names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words that the index knows, their weights) of norm 1."""
+        if not len(self.names) or not len(names):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound, score = np.zeros(self.blocks), np.zeros(len(self.rows))
-        for w, (blocks, most, *_) in terms:
-            bound[blocks] += w * most
-
-        def visit(chosen):
-            for w, (_, _, rows, x, block) in terms:
-                keep = chosen[block]
-                score[rows[keep]] += w * x[keep]
-
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        visit(first)
-        if but >= 0:
-            score[but] = 0
-        kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
-        visit(~first & (bound > 0) & (bound >= kth - 1e-12))
-        if but >= 0:
-            score[but] = 0
-        at = np.flatnonzero(score > 0)
-        top = at[np.lexsort((at, -score[at]))[:k]]
-        return top, score[top]
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        known = self.names[at] == names
+        at = at[known]
+        w = (1 + np.log(counts[known])) * self.idf[at]
+        return at, w / max(math.sqrt(float(w @ w)), 1e-300)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, cosines) of the k nearest of a cosine above 0 of each vector, by cosine, then row; row but[i] is left out of the i-th.
+
+        Each vector's blocks of the highest bounds are scored first; the k-th cosine there shuts out every
+        block whose bound lies below it. Vectors that need a block are multiplied with it together.
+        """
+        m, none = len(vectors), (np.zeros(0, np.int64), np.zeros(0))
+        if not self.blocks:
+            return [none] * m
+        score, q = np.zeros((m, self.blocks, BLOCK)), np.zeros((m, self.dense.shape[2]))
+        for i, (term, w) in enumerate(vectors):
+            column, lens = self.column[term], self.lens[term]
+            q[i, column[column >= 0]] = w[column >= 0]
+            at = ranges(self.starts[term], lens)
+            if len(at):
+                score[i] = np.bincount(self.rows[at], np.repeat(w, lens) * self.values[at], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bound = score.max(2) + q @ self.most.T
+        for i, row in enumerate(but or ()):
+            score[i, row // BLOCK, row % BLOCK] = -np.inf
+        seen = np.zeros(bound.shape, bool)
+
+        def visit(need):
+            for b in np.flatnonzero(need.any(0)).tolist():
+                some = np.flatnonzero(need[:, b])
+                score[some, b] += q[some] @ self.dense[b].T
+            np.logical_or(seen, need, out=seen)
+
+        first, best = np.zeros(bound.shape, bool), np.argsort(-bound, axis=1, kind="stable")[:, :VISIT]
+        np.put_along_axis(first, best, True, 1)
+        visit(first & (bound > 0))
+        early = np.take_along_axis(score, best[:, :, None], 1).reshape(m, -1)
+        kth = np.partition(early, -k, axis=1)[:, -k] if early.shape[1] >= k else np.full(m, -np.inf)
+        visit(~seen & (bound > 0) & (bound >= kth[:, None] - 1e-9))
+        out = []
+        for i in range(m):
+            blocks = np.flatnonzero(seen[i])
+            sims = np.round(score[i, blocks].ravel(), 12)
+            some = np.flatnonzero(sims > 0)
+            if len(some) > 4 * k:
+                some = some[sims[some] >= np.partition(sims[some], -k)[-k]]
+            rows, sims = blocks[some // BLOCK] * BLOCK + some % BLOCK, sims[some]
+            top = np.lexsort((rows, -sims))[:k]
+            out.append((rows[top], sims[top]))
+        return out
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         """Share of label 1 among neighbours, weighted by cosine and by what each example stands for."""
@@ -101,11 +163,13 @@ class Index:
         yes = float(w[self.labels[rows] == 1].sum())
         return (yes + 0.5 * self.prior) / (float(w.sum()) + 0.5)
 
-    def _calibrate(self) -> None:
-        if not len(self.rows) or not 0 < self.labels.sum() < len(self.labels):
+    def calibrate(self, votes: list[tuple[int, float]]) -> None:
+        """Fit the logistic curve to (label, vote) of examples that were left out."""
+        y = np.array([v[0] for v in votes], np.float64)
+        if not 0 < y.sum() < len(y):
             return
-        raw = np.array([self.vote(*self.nearest(v, but=i)) for i, (v, _, _) in enumerate(self.rows)]).clip(1e-6, 1 - 1e-6)
-        x, y = np.log(raw / (1 - raw)), self.labels.astype(float)
+        raw = np.array([v[1] for v in votes]).clip(1e-6, 1 - 1e-6)
+        x = np.log(raw / (1 - raw))
         w = np.where(y == 1, self.weight[1], self.weight[0])
         w = w / w.mean()
         a, b = 1.0, 0.0
@@ -121,30 +185,27 @@ class Index:
         if a > 0:
             self.slope, self.shift = float(a), float(b)
 
-    def score(self, tf: dict[str, int]) -> tuple[float, list[int], list[float]]:
-        """(probability, ids and cosines of the three nearest examples as evidence)."""
-        vec = self.vector(tf)
-        key = tuple(vec.items())
-        if key in self.seen:
-            return self.seen[key]
-        rows, sims = self.nearest(vec)
-        raw = min(1 - 1e-6, max(1e-6, self.vote(rows, sims)))
-        p = raw if not len(rows) else 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log(raw / (1 - raw)) + self.shift))))
-        out = (p, self.ids[rows[:3]].tolist(), [round(x, 6) for x in sims[:3].tolist()])
-        if len(self.seen) < 100_000:
-            self.seen[key] = out
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int], list[float]]]:
+        """(probability, ids and cosines of the three nearest examples as evidence) of each text's words and counts."""
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            for rows, sims in self.nearest([self.vector(*x) for x in texts[i : i + TOGETHER]]):
+                raw = min(1 - 1e-6, max(1e-6, self.vote(rows, sims)))
+                p = raw if not len(rows) else 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log(raw / (1 - raw)) + self.shift))))
+                out.append((p, self.ids[rows[:3]].tolist(), [round(x, 6) for x in sims[:3].tolist()]))
         return out
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """id, label, word counts of each text."""
+    """id, label, word hashes and counts of each text, as little-endian u8."""
 
     def run(batches):
+        terms = Terms()
         for b in batches:
-            tf = [Counter(words(t)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[w.decode("utf-8", "replace") for w in c] for c in tf], pa.list_(pa.string())), pa.array([list(c.values()) for c in tf], pa.list_(pa.int64()))], ["id", "label", "term", "n"])
+            got = [terms(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.astype("<u8").tobytes() for h, _ in got], pa.binary()), pa.array([n.astype("<i8").tobytes() for _, n in got], pa.binary())], ["id", "label", "name", "n"])
 
-    return docs.mapInArrow(run, "id long, label int, term array<string>, n array<long>")
+    return docs.mapInArrow(run, "id long, label int, name binary, n binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Index:
@@ -166,26 +227,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # copies of one text are one example: else their every word looks like a sign of their label
     found = found.groupBy("text").agg(F.max("label").alias("label"), F.min("id").alias("id"))
     counts = stash(_counts(found.select("id", "label", "text")), "toxicity-sample")
-    sizes = {r.label: r.n for r in counts.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    n = pos + neg
-    a, d = F.col("a").cast("double"), F.col("df").cast("double")
-    cross = a * (neg - (d - a)) - (d - a) * (pos - a)
-    chi = F.when((d > 0) & (d < n), F.lit(float(n)) * cross * cross / (F.lit(float(max(pos, 1)) * max(neg, 1)) * d * (n - d)))
-    words_df = counts.select("label", F.explode("term").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("df"))
-    terms = words_df.withColumn("chi", chi).where((F.col("chi") >= MIN_CHI) & (F.col("df") >= 2)).orderBy(F.desc("chi"), "term").collect()
-    idf = {r.term: math.log((1 + n) / (1 + r.df)) + 1 for r in terms}
-    use = set(idf)
-
-    def restrict(batches):
-        for b in batches:
-            tf = [[(t, c) for t, c in zip(*x) if t in use] for x in zip(b.column("term").to_pylist(), b.column("n").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([[t for t, _ in x] for x in tf], pa.list_(pa.string())), pa.array([[c for _, c in x] for x in tf], pa.list_(pa.int64()))], ["id", "label", "term", "n"])
+    examples = [(r.id, r.label, np.frombuffer(r["name"], "<u8"), np.frombuffer(r.n, "<i8")) for r in counts.collect()]  # bounded by the sample
+    pos = sum(e[1] for e in examples)
+    neg = len(examples) - pos
+    index = Index(sorted(examples, key=lambda e: e[0]), (totals.get(0, 0) / neg if neg else 1.0, totals.get(1, 0) / pos if pos else 1.0))
+    if 0 < pos < len(examples):
+        shared = spark.sparkContext.broadcast(index)
+
+        def leave_out(batches):
+            index = shared.value
+            row = {i: k for k, i in enumerate(index.ids.tolist())}
+            for b in batches:
+                for k in range(0, b.num_rows, TOGETHER):
+                    some = [x for x in zip(*(c.to_pylist() for c in b.slice(k, TOGETHER).columns)) if x[0] in row]
+                    near = index.nearest([index.vector(np.frombuffer(h, "<u8"), np.frombuffer(n, "<i8")) for _, _, h, n in some], but=[row[x[0]] for x in some])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int32()), pa.array([index.vote(*x) for x in near], pa.float64())], ["id", "label", "vote"])
 
-    kept = counts.mapInArrow(restrict, "id long, label int, term array<string>, n array<long>")
-    examples = [(r.id, r.label, dict(zip(r.term, r.n))) for r in kept.collect()]  # bounded by the sample and the terms
-    weight = (totals.get(0, 0) / neg if neg else 1.0, totals.get(1, 0) / pos if pos else 1.0)
-    return Index(sorted(examples), idf, weight)
+        votes = counts.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(leave_out, "id long, label int, vote double").collect()
+        index.calibrate([(r.label, r.vote) for r in sorted(votes, key=lambda r: r.id)])
+        shared.unpersist()
+    return index
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -200,12 +261,9 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        index = shared.value
-        idf = {t.encode(): t for t in index.idf}
+        index, terms = shared.value, Terms()
         for b in batches:
-            got = []
-            for t in b.column("text").to_pylist():
-                got.append(index.score(Counter(idf[w] for w in words(t) if w in idf)))
+            got = index.score([terms(t) for t in b.column("text").to_pylist()])
             rest = [(f, b.column(i)) for i, f in enumerate(b.schema.names) if f != "text"]
             p = [g[0] for g in got]
             yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], [*(f for f, _ in rest), "score", "predicted", "evidence_ids", "evidence_cosines"])
