@@ -122,11 +122,11 @@ def _clip(c: list[Column], then) -> Column:
 
     def high(v):
         *c, mid, top = v
-        return then([F.when(top <= one, x).when(F.abs(top - mid) > _f(1e-9), (mid + (x - mid) * (one - mid) / (top - mid)).cast(_FLOAT)).otherwise(mid) for x in c])
+        return then([F.when(top <= one, x).when(F.abs(top - mid) > _f(1e-9), mid + ((x - mid) * (one - mid) / (top - mid)).cast(_FLOAT)).otherwise(mid) for x in c])
 
     def low(v):
         *c, mid, bottom, top = v
-        raised = [F.when(bottom >= zero, x).when(F.abs(mid - bottom) > _f(1e-9), (mid + (x - mid) * mid / (mid - bottom)).cast(_FLOAT)).otherwise(mid) for x in c]
+        raised = [F.when(bottom >= zero, x).when(F.abs(mid - bottom) > _f(1e-9), mid + ((x - mid) * mid / (mid - bottom)).cast(_FLOAT)).otherwise(mid) for x in c]
         return _let([*raised, mid, top], high)
 
     return _let(c, lambda c: _let([*c, lum(c), F.least(*c), F.greatest(*c)], low))

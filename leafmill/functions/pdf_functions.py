@@ -11,7 +11,8 @@ import math
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 Make = Callable[[list[Column]], list[Column]]
@@ -134,6 +135,11 @@ def _safe(v: Column) -> Column:
     return F.when(v != 0, v)
 
 
+def _whole(v: Column) -> Column:
+    """Cut to a whole number; what a long can't hold becomes its nearest, what isn't a number 0."""
+    return F.when(F.isnan(v), F.lit(0).cast("long")).when(v >= 9.223372036854775e18, F.lit(2**63 - 1).cast("long")).when(v <= -9.223372036854775e18, F.lit(-(2**63)).cast("long")).otherwise(v.cast("long"))
+
+
 _DEG = math.pi / 180
 _ONE = {
     "neg": lambda a: -a, "abs": F.abs, "ceiling": lambda a: F.ceil(a).cast("double"), "floor": lambda a: F.floor(a).cast("double"),
@@ -146,8 +152,8 @@ _ONE = {
 _TWO = {
     "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b,
     "div": lambda a, b: F.coalesce(a / _safe(b), F.lit(0.0)),
-    "idiv": lambda a, b: F.coalesce(F.signum(a / _safe(b)) * F.floor(F.abs(a / _safe(b))), F.lit(0.0)),
-    "mod": lambda a, b: F.coalesce(a % _safe(b), F.lit(0.0)),
+    "idiv": lambda a, b: F.coalesce(F.call_function("div", _whole(a), _safe(_whole(b))).cast("double"), F.lit(0.0)),
+    "mod": lambda a, b: F.coalesce((_whole(a) % _safe(_whole(b))).cast("double"), F.lit(0.0)),
     "exp": lambda a, b: F.pow(a, b),
     "atan": lambda a, b: F.pmod(F.degrees(F.atan2(a, b)) + 360.0, F.lit(360.0)),
     "eq": lambda a, b: _flag(F.abs(a - b) < 1e-12), "ne": lambda a, b: _flag(F.abs(a - b) >= 1e-12),
@@ -244,3 +250,34 @@ def calculator(text: str) -> Make:
                 raise ValueError(f"unknown operator {t!r}") from None
 
     return lambda xs: [col(v) for v in run(program, list(xs))]
+
+
+def program(text: str, outputs: int) -> Make:
+    """A calculator program of any kind: expressions where its stack is known, else a vectorised kernel.
+
+    Gives the first `outputs` values of the stack; those that a run doesn't leave are 0.
+    """
+    compiled = calculator(text)
+
+    def interpreted(xs: list[Column]) -> list[Column]:
+        from leafmill.operators.colorspaces import run_calculator
+        from leafmill.shipping import ship
+
+        ship(SparkSession.getActiveSession())
+
+        @F.pandas_udf("array<double>")
+        def run(*inputs: pd.Series) -> pd.Series:
+            rows = (run_calculator(text, [float(x) for x in row]) for row in zip(*inputs))
+            return pd.Series([[*row, *[0.0] * outputs][:outputs] for row in rows])
+
+        got = run(*[x.cast("double") for x in xs])
+        return [F.get(got, F.lit(i)) for i in range(outputs)]
+
+    def make(xs: list[Column]) -> list[Column]:
+        try:
+            made = compiled(xs)
+        except DynamicStack:
+            return interpreted(xs)
+        return [*made, *[F.lit(0.0)] * outputs][:outputs]
+
+    return make

@@ -115,14 +115,29 @@ def _sign(v: float) -> float:
     return math.copysign(1.0, v)
 
 
+def _whole(v: float) -> int:
+    return 0 if math.isnan(v) else int(max(-(2.0**63), min(2.0**63, v)))
+
+
+def _divide(a: float, b: float) -> float:
+    """Quotient of the whole parts, cut towards zero; 0 by 0."""
+    a, b = _whole(a), _whole(b)
+    return float(abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)) if b else 0.0
+
+
+def _rest(a: float, b: float) -> float:
+    a, b = _whole(a), _whole(b)
+    return float(abs(a) % abs(b) * (-1 if a < 0 else 1)) if b else 0.0
+
+
 _ONE = {
     "neg": lambda a: -a, "abs": abs, "ceiling": math.ceil, "floor": math.floor, "round": lambda a: _sign(a) * math.floor(abs(a) + 0.5), "truncate": math.trunc, "cvi": math.trunc, "cvr": float,
     "sqrt": lambda a: math.sqrt(abs(a)), "sin": lambda a: math.sin(math.radians(a)), "cos": lambda a: math.cos(math.radians(a)),
     "ln": lambda a: math.log(abs(a)) if a else 0.0, "log": lambda a: math.log10(abs(a)) if a else 0.0, "not": lambda a: 1 - a if a in (0, 1) else ~int(a),
 }
 _TWO = {
-    "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b if b else 0.0, "idiv": lambda a, b: math.trunc(a / b) if b else 0.0,
-    "mod": lambda a, b: math.fmod(a, b) if b else 0.0, "exp": lambda a, b: a**b if a > 0 or b == int(b) and (a or b > 0) else 0.0, "atan": lambda a, b: math.degrees(math.atan2(a, b)) % 360.0,
+    "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b if b else 0.0, "idiv": _divide,
+    "mod": _rest, "exp": lambda a, b: a**b if a > 0 or b == int(b) and (a or b > 0) else 0.0, "atan": lambda a, b: math.degrees(math.atan2(a, b)) % 360.0,
     "eq": lambda a, b: abs(a - b) < 1e-12, "ne": lambda a, b: abs(a - b) >= 1e-12, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b,
     "and": lambda a, b: int(a) & int(b), "or": lambda a, b: int(a) | int(b), "xor": lambda a, b: int(a) ^ int(b),
     "bitshift": lambda a, b: int(a) << min(63, int(b)) if b >= 0 else int(a) >> min(63, int(-b)),

@@ -156,6 +156,12 @@ _PS = {
 for key, (program, sql, places) in _PS.items():
     shift = (0.05, 0.04) if key == "atan" else (0.0, 0.0)
     add(f"func_type4_{key}", "lineitem", lambda d, program=program, shift=shift, places=places: [F.round(v, places).alias(f"y{i}") for i, v in enumerate(P.calculator(program)([d.l_discount - shift[0], d.l_tax - shift[1]]))], f"round({sql}, {places}) as y0" if sql else None, LINE)
+_WHOLE = "{ 2 copy 100 mul 1.9 add exch 100 mul 0.5 add exch idiv 3 1 roll 100 mul 1.9 add exch 100 mul 0.5 add exch mod }"
+_AB = "cast(trunc(l_discount * 100 + 0.5::double) as bigint) {} cast(trunc(l_tax * 100 + 1.9::double) as bigint)"
+add("func_type4_whole_division", "lineitem", lambda d: [v.alias(n) for v, n in zip(P.calculator(_WHOLE)([d.l_discount, d.l_tax]), ("q", "r"))], f"({_AB.format('//')})::double as q, ({_AB.format('%')})::double as r", LINE)
+# how deep `index` reaches comes from the data: the program can't be compiled to expressions
+_DEEP = "{ 100 mul round 3 mod 7 exch 9 exch index 4 1 roll pop pop pop }"
+add("func_type4_dynamic", "lineitem", lambda d: [P.program(_DEEP, 1)([d.l_discount, d.l_tax])[0].alias("y")], "case cast(round(l_tax * 100) as int) % 3 when 0 then 9.0::double when 1 then 7.0::double else l_discount end as y", LINE)
 add("clamp_interpolate", "lineitem", lambda d: [P.clamp(d.l_quantity, 40, 10).alias("a"), F.round(P.interpolate(d.l_quantity, 1, 50, -1, 1), 9).alias("b")], "least(greatest(l_quantity, 10.0), 40.0)::double as a, round(-1 + (l_quantity - 1) * 2.0::double / 49, 9) as b", LINE)
 
 # --- geometry

@@ -60,6 +60,19 @@ def test_dynamic_programs_are_refused(spark):
         P.calculator("{ copy }")([F.col("a"), F.col("b")])
 
 
+@pytest.mark.parametrize("a,b,q,r", [(5.5, 1.9, 5.0, 0.0), (5.0, 0.5, 0.0, 0.0), (-7.9, 2.1, -3.0, -1.0), (7.0, -2.0, -3.0, 1.0), (1e300, 3.0, 3074457345618258602.0, 1.0)])
+def test_whole_division(spark, a, b, q, r):
+    row = spark.createDataFrame([(a, b)], "a double, b double").select(*[P.calculator("{ %s }" % op)([F.col("a"), F.col("b")])[0].alias(op) for op in ("idiv", "mod")]).first()
+    assert tuple(row) == (q, r)
+    assert (run_calculator("{ idiv }", [a, b])[0], run_calculator("{ mod }", [a, b])[0]) == pytest.approx((q, r), abs=1.0 if a > 1e18 else 0)
+
+
+def test_dynamic_programs_run_in_a_kernel(spark):
+    df = spark.createDataFrame([(1.5, 0.0), (1.5, 1.0), (1.5, 2.0)], "a double, b double")
+    make = P.program("{ 7 exch 9 exch index 4 1 roll pop pop pop }", 2)
+    assert [tuple(r) for r in df.select(*[c.alias(f"y{i}") for i, c in enumerate(make([F.col("a"), F.col("b")]))]).collect()] == [(9.0, 0.0), (7.0, 0.0), (1.5, 0.0)]
+
+
 def test_labels(spark):
     row = spark.range(1).select(T.roman(F.lit(1994)).alias("a"), T.letters(F.lit(27)).alias("b"), T.letters(F.lit(53)).alias("c"), T.roman(F.lit(0)).alias("d"), T.header_version(F.encode(F.lit("x%PDF-1.5\n"), "UTF-8")).alias("e")).first()
     assert tuple(row) == ("MCMXCIV", "AA", "AAA", "", "1.5")
