@@ -91,7 +91,7 @@ class Index:
         dense = common[term]
         matrix = np.zeros((self.blocks * BLOCK, int(common.sum())))
         matrix[rows[dense], self.column[term[dense]]] = value[dense]
-        self.dense = matrix.reshape(self.blocks, BLOCK, -1)
+        self.dense = matrix.reshape(self.blocks, BLOCK, matrix.shape[1])
         self.most = self.dense.max(1) if self.blocks else np.zeros((0, matrix.shape[1]))
         # other words: postings, word after word
         rows, term, value = rows[~dense], term[~dense], value[~dense]
