@@ -12,7 +12,9 @@ a logistic curve that is fitted to the examples' own leave-one-out votes makes t
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -54,7 +56,7 @@ class Index:
 
     def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight: tuple[float, float]):
         """examples: (id, label, word hashes, counts); weight: rows that an example of label 0 and 1 stands for."""
-        self.weight, self.slope, self.shift = weight, 1.0, 0.0
+        self.weight = weight
         n, labels = len(examples), np.array([e[1] for e in examples], np.int64)
         pos = int(labels.sum())
         flat = np.concatenate([e[2] for e in examples]) if n else np.zeros(0, np.uint64)
@@ -163,57 +165,88 @@ class Index:
         yes = float(w[self.labels[rows] == 1].sum())
         return (yes + 0.5 * self.prior) / (float(w.sum()) + 0.5)
 
-    def calibrate(self, votes: list[tuple[int, float]]) -> None:
-        """Fit the logistic curve to (label, vote) of examples that were left out."""
-        y = np.array([v[0] for v in votes], np.float64)
-        if not 0 < y.sum() < len(y):
-            return
-        raw = np.array([v[1] for v in votes]).clip(1e-6, 1 - 1e-6)
-        x = np.log(raw / (1 - raw))
-        w = np.where(y == 1, self.weight[1], self.weight[0])
-        w = w / w.mean()
-        a, b = 1.0, 0.0
-        for _ in range(50):  # Newton steps of a logistic fit, lightly held to the identity
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            g = np.array([(w * (p - y) * x).sum() + (a - 1), (w * (p - y)).sum() + b])
-            q = w * p * (1 - p)
-            hess = np.array([[(q * x * x).sum() + 1, (q * x).sum()], [(q * x).sum(), q.sum() + 1]])
-            step = np.linalg.solve(hess, g)
-            a, b = a - step[0], b - step[1]
-            if np.abs(step).max() < 1e-9:
-                break
-        if a > 0:
-            self.slope, self.shift = float(a), float(b)
-
-    def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int], list[float]]]:
-        """(probability, ids and cosines of the three nearest examples as evidence) of each text's words and counts."""
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]], slope: float = 1.0, shift: float = 0.0) -> list[tuple[float, list[int], list[float]]]:
+        """(probability, ids and cosines of the three nearest examples as evidence) of each text's words and counts.
+
+        slope and shift are those of the logistic curve that makes votes probabilities.
+        """
         out = []
         for i in range(0, len(texts), TOGETHER):
             for rows, sims in self.nearest([self.vector(*x) for x in texts[i : i + TOGETHER]]):
                 raw = min(1 - 1e-6, max(1e-6, self.vote(rows, sims)))
-                p = raw if not len(rows) else 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log(raw / (1 - raw)) + self.shift))))
+                p = raw if not len(rows) else 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log(raw / (1 - raw)) + shift))))
                 out.append((p, self.ids[rows[:3]].tolist(), [round(x, 6) for x in sims[:3].tolist()]))
         return out
 
 
+def logistic(votes: list[tuple[int, float]], weight: tuple[float, float]) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of (label, vote) of examples that were left out of their own votes."""
+    y = np.array([v[0] for v in votes], np.float64)
+    if not 0 < y.sum() < len(y):
+        return 1.0, 0.0
+    raw = np.array([v[1] for v in votes]).clip(1e-6, 1 - 1e-6)
+    x = np.log(raw / (1 - raw))
+    w = np.where(y == 1, weight[1], weight[0])
+    w = w / w.mean()
+    a, b = 1.0, 0.0
+    for _ in range(50):  # Newton steps of a logistic fit, lightly held to the identity
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g = np.array([(w * (p - y) * x).sum() + (a - 1), (w * (p - y)).sum() + b])
+        q = w * p * (1 - p)
+        hess = np.array([[(q * x * x).sum() + 1, (q * x).sum()], [(q * x).sum(), q.sum() + 1]])
+        step = np.linalg.solve(hess, g)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+
+_loaded: dict[str, Index] = {}
+
+
+class Model:
+    """A fitted index, broadcast as bytes, and the curve of its votes. The driver holds no more than the bytes."""
+
+    def __init__(self, spark, raw: bytes):
+        self.shared, self.name = spark.sparkContext.broadcast(raw), hashlib.md5(raw).hexdigest()
+        self.slope, self.shift = 1.0, 0.0
+
+    def loader(self):
+        """A function for executors: the index, unpacked once for each Python worker."""
+        shared, name = self.shared, self.name
+
+        def load() -> Index:
+            if name not in _loaded:
+                _loaded.clear()
+                _loaded[name] = pickle.loads(shared.value)
+            return _loaded[name]
+
+        return load
+
+    @property
+    def index(self) -> Index:
+        return self.loader()()
+
+
 def _counts(docs: DataFrame) -> DataFrame:
-    """id, label, word hashes and counts of each text, as little-endian u8."""
+    """id, label, word hashes (little-endian u8) and counts (u4) of each text."""
 
     def run(batches):
         terms = Terms()
         for b in batches:
             got = [terms(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.astype("<u8").tobytes() for h, _ in got], pa.binary()), pa.array([n.astype("<i8").tobytes() for _, n in got], pa.binary())], ["id", "label", "name", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.astype("<u8").tobytes() for h, _ in got], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in got], pa.binary())], ["id", "label", "name", "n"])
 
     return docs.mapInArrow(run, "id long, label int, name binary, n binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Model:
     """Fit the examples and their index.
 
     Of labelled rows at most max_positive of label 1 and max_negative of others are taken, in the order of a
     hash of their id. Null ids and labels are left out; an id that is labelled twice takes its highest label;
-    of texts that share an id the first in order counts; equal texts are one example, with their highest label. Without examples every score is the prior, 0.
+    of texts that share an id the first in order counts; equal texts are one example, with their highest label. Without examples
+    every score is the prior, 0. The index is built in one task, which the sample bounds.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -227,29 +260,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # copies of one text are one example: else their every word looks like a sign of their label
     found = found.groupBy("text").agg(F.max("label").alias("label"), F.min("id").alias("id"))
     counts = stash(_counts(found.select("id", "label", "text")), "toxicity-sample")
-    examples = [(r.id, r.label, np.frombuffer(r["name"], "<u8"), np.frombuffer(r.n, "<i8")) for r in counts.collect()]  # bounded by the sample
-    pos = sum(e[1] for e in examples)
-    neg = len(examples) - pos
-    index = Index(sorted(examples, key=lambda e: e[0]), (totals.get(0, 0) / neg if neg else 1.0, totals.get(1, 0) / pos if pos else 1.0))
-    if 0 < pos < len(examples):
-        shared = spark.sparkContext.broadcast(index)
+    sizes = {r.label: r.n for r in counts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    weight = (totals.get(0, 0) / neg if neg else 1.0, totals.get(1, 0) / pos if pos else 1.0)
+
+    def build(batches):  # one task: the sample's bound is its bound, and the driver needs no room for it
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        index = Index([(i, label, np.frombuffer(h, "<u8"), np.frombuffer(n, "<u4")) for i, label, h, n in sorted(rows)], weight)
+        raw = pickle.dumps(index, protocol=5)
+        for k in range(0, len(raw), 4 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([raw[k : k + (4 << 20)]], pa.binary())], ["at", "raw"])
+
+    raw = b"".join(r.raw for r in sorted(counts.repartition(1).mapInArrow(build, "at long, raw binary").collect()))
+    model = Model(spark, raw)
+    if pos and neg:
+        load = model.loader()
 
         def leave_out(batches):
-            index = shared.value
+            index = load()
             row = {i: k for k, i in enumerate(index.ids.tolist())}
             for b in batches:
                 for k in range(0, b.num_rows, TOGETHER):
                     some = [x for x in zip(*(c.to_pylist() for c in b.slice(k, TOGETHER).columns)) if x[0] in row]
-                    near = index.nearest([index.vector(np.frombuffer(h, "<u8"), np.frombuffer(n, "<i8")) for _, _, h, n in some], but=[row[x[0]] for x in some])
+                    near = index.nearest([index.vector(np.frombuffer(h, "<u8"), np.frombuffer(n, "<u4")) for _, _, h, n in some], but=[row[x[0]] for x in some])
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int32()), pa.array([index.vote(*x) for x in near], pa.float64())], ["id", "label", "vote"])
 
         votes = counts.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(leave_out, "id long, label int, vote double").collect()
-        index.calibrate([(r.label, r.vote) for r in sorted(votes, key=lambda r: r.id)])
-        shared.unpersist()
-    return index
+        model.slope, model.shift = logistic([(r.label, r.vote) for r in sorted(votes, key=lambda r: r.id)], weight)
+    return model
 
 
-def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row for each row of docs: id, columns in `keep`, score, predicted (score >= 0.5), evidence_ids, evidence_cosines.
 
     Null text counts as empty; a text without any word of the vectors gets the share that such examples
@@ -258,12 +299,12 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     keep = keep or []
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)])
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    load, slope, shift = model.loader(), model.slope, model.shift
 
     def run(batches):
-        index, terms = shared.value, Terms()
+        index, terms = load(), Terms()
         for b in batches:
-            got = index.score([terms(t) for t in b.column("text").to_pylist()])
+            got = index.score([terms(t) for t in b.column("text").to_pylist()], slope, shift)
             rest = [(f, b.column(i)) for i, f in enumerate(b.schema.names) if f != "text"]
             p = [g[0] for g in got]
             yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], [*(f for f, _ in rest), "score", "predicted", "evidence_ids", "evidence_cosines"])

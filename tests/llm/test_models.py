@@ -225,7 +225,7 @@ def test_nearest_are_exact():
     index = toxicity.Index(ex, (1.0, 1.0))
     queries = [(e[2], e[3]) for e in examples(80)] + [(np.array([1], np.uint64), np.array([1]))]
     got = index.nearest([index.vector(*q) for q in queries])
-    scored = index.score(queries)
+    scored = index.score(queries, 1.5, -0.25)
     for (rows, sims), cosines, (p, ids, _) in zip(got, dense_cosines(index, ex, queries), scored):
         brute = sorted(((-c, k) for c, k in cosines if c > 1e-9))[: toxicity.NEAREST]
         assert np.allclose(sims, [-c for c, _ in brute]) and len(rows) == len(brute)
@@ -233,7 +233,7 @@ def test_nearest_are_exact():
         if brute:
             yes = sum(s for s, k in zip(sims, rows) if index.labels[k])
             raw = (yes + 0.5 * index.prior) / (sims.sum() + 0.5)
-            assert math.isclose(p, 1 / (1 + math.exp(-index.slope * math.log(raw / (1 - raw)) - index.shift)), rel_tol=1e-9) and ids == index.ids[rows[:3]].tolist()
+            assert math.isclose(p, 1 / (1 + math.exp(-1.5 * math.log(raw / (1 - raw)) + 0.25)), rel_tol=1e-9) and ids == index.ids[rows[:3]].tolist()
         else:
             assert p == index.blank
     out = index.nearest([index.vector(ex[5][2], ex[5][3])], but=[index.ids.tolist().index(5)])[0][0]
@@ -260,7 +260,7 @@ def test_toxic_words_are_learned(spark):
     index = toxicity.fit(docs, train)
     got = {r.doc_id: r for r in toxicity.score(docs, index, keep=["score"]).toDF("doc_id", "kept", "score", "predicted", "ids", "cos").collect()}
     right = sum(got[i].predicted == t for i, t in labels[400:])
-    assert right >= 195 and got[None].predicted == 1 and got[702].predicted == 1 and got[700].score == got[701].score == index.prior
+    assert right >= 195 and got[None].predicted == 1 and got[702].predicted == 1 and got[700].score == got[701].score == index.index.prior
     assert got[702].ids and all(0 <= r.score <= 1 for r in got.values())
     empty = toxicity.fit(docs, train.limit(0))
     assert all(r.score < 0.5 for r in toxicity.score(docs, empty).collect())
@@ -276,7 +276,7 @@ def test_rare_toxic_words_count_in_large_samples(spark):
     new = [(5000 + i, f"bad{i} {plain()}") for i in range(300)] + [(6000 + i, plain()) for i in range(50)]
     docs = spark.createDataFrame(rows + new, "doc_id long, text string")
     index = toxicity.fit(docs, labels)
-    assert set(toxicity.Terms()(" ".join(f"bad{i}" for i in range(300)))[0].tolist()) <= set(index.names.tolist())
+    assert set(toxicity.Terms()(" ".join(f"bad{i}" for i in range(300)))[0].tolist()) <= set(index.index.names.tolist())
     got = {r.doc_id: r.predicted for r in toxicity.score(docs.where("doc_id >= 5000"), index).collect()}
     assert all(got[5000 + i] == 1 for i in range(300)) and not any(got[6000 + i] for i in range(50))
 
