@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import hit_count
 from leafmill.operators import tables
-from leafmill.plans import codec_queries, column_queries, file_queries, kernel_queries
+from leafmill.plans import codec_queries, column_queries, file_queries, kernel_queries, whole_files
 from leafmill.sources.reader import make_files
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for module in (file_queries, kernel_queries, column_queries, codec_queries):
+for module in (file_queries, kernel_queries, column_queries, codec_queries, whole_files):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
 
