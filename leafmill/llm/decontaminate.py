@@ -9,6 +9,7 @@ patterns that end with that block, each of which is compared word by word.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import small_batches, words
 
 #: Benchmark bytes searched for in one pass; a larger benchmark takes several passes over the documents.
-PASS_BYTES = 32 << 20
+#: The tables of a pass take some 100 bytes for each, in every Python worker.
+PASS_BYTES = 4 << 20
 
 
 class Patterns:
@@ -65,6 +67,18 @@ class Patterns:
         return hit, seen
 
 
+_tables: dict[str, Patterns] = {}
+
+
+def _patterns(name: str, shared, window: int) -> Patterns:
+    """The tables of a broadcast block, made once for each Python worker; the last two blocks are kept."""
+    if name not in _tables:
+        while len(_tables) > 1:
+            del _tables[next(iter(_tables))]
+        _tables[name] = Patterns(shared.value, window)
+    return _tables[name]
+
+
 def _passes(benchmark: DataFrame, item_col: str, text_col: str):
     """Benchmark rows in blocks of bounded size, each fit for the driver."""
     rows, size = [], 0
@@ -72,7 +86,7 @@ def _passes(benchmark: DataFrame, item_col: str, text_col: str):
         if item is None:
             continue
         rows.append((item, words(text)))
-        size += len(text or "")
+        size += len((text or "").encode("utf-8", "surrogatepass"))
         if size > PASS_BYTES:
             yield rows
             rows, size = [], 0
@@ -92,16 +106,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     """
     small_batches(docs.sparkSession)
     spark, keep = docs.sparkSession, keep or []
-    blocks = list(_passes(benchmark.select(item_col, item_text_col), item_col, item_text_col)) if benchmark.limit(1).count() else []
     kept = [docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)]
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), *kept)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
 
     def finder(block, last):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def find(batches):
-            tables = Patterns(shared.value, window)
+            tables = _patterns(name, shared, window)
             for b in batches:
                 n_words, marks, items = [], [], []
                 for text in b.column("text").to_pylist():
@@ -121,18 +134,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
         return find
 
-    if len(blocks) <= 1:
-        out = rows.mapInArrow(finder(blocks[0] if blocks else [], True), f"{head}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    # blocks come one after another and are broadcast as they come: the driver holds two at a time
+    blocks = _passes(benchmark.select(item_col, item_text_col), item_col, item_text_col)
+    block, ahead = next(blocks, []), next(blocks, None)
+    if ahead is None:
+        out = rows.mapInArrow(finder(block, True), f"{head}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     else:
         rows = rows.withColumn("row", F.xxhash64(*[c for c in rows.columns]))
         head += ", `row` bigint"
-        parts = [rows.mapInArrow(finder(b, False), f"{head}, n_words long, hit array<long>, items array<string>").withColumn("block", F.lit(i)) for i, b in enumerate(blocks)]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
+        every, n = None, 0
+        while block is not None:
+            part = rows.mapInArrow(finder(block, False), f"{head}, n_words long, hit array<long>, items array<string>")
+            every, n = part if every is None else every.unionByName(part), n + 1
+            block, ahead = ahead, next(blocks, None)
         named = [f for f in rows.columns if f not in ("text", "row")]
         # identical rows find the same words: they meet in one group and part again by their number
-        grouped = every.groupBy(*named, "row").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / len(blocks)).cast("int").alias("copies"))
+        grouped = every.groupBy(*named, "row").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / n).cast("int").alias("copies"))
         out = grouped.select(*named, "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"), F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
     for i, c in enumerate(keep):
         out = out.withColumnRenamed(f"keep_{i}", c)

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import stash
 
 LONG_WORDS, MIN_WORDS = 20, 12
-#: Repeated chunk hashes that are broadcast at most (8 bytes each); more are joined by a shuffle.
-BROADCAST_HASHES = 2_000_000
+#: Repeated chunks that are broadcast at most (hash and first place, some 100 bytes each); more are joined by a shuffle.
+BROADCAST_HASHES = 500_000
 #: Characters of scripts that are written without blanks; two of them count as a word.
 _DENSE = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3001-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
 _BLANK = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -81,9 +81,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct("ord", "key", "s")
     repeated = found.select("h", place.alias("at")).groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("h", "first")
     repeated = stash(repeated, "line-repeats")
-    few = repeated.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
-    hit = chunks(base, long_words, min_words, text=True).join(F.broadcast(repeated) if few else repeated, "h")
-    hit = hit.selectExpr("h", "key", "s", "e", "chunk", "ord <=> first.ord and key = first.key and s = first.s as is_first")
+    is_first = "ord <=> first.ord and key = first.key and s = first.s as is_first"
+    if repeated.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:  # no text is shuffled
+        hit = chunks(base, long_words, min_words, text=True).join(F.broadcast(repeated), "h").selectExpr("h", "key", "s", "e", "chunk", is_first)
+    else:  # chunks meet their hash without a text; each text travels once, to its own repeated chunks
+        met = chunks(base, long_words, min_words).join(repeated, "h").selectExpr("key", f"struct(h, s, e, {is_first}) as c")
+        met = met.groupBy("key").agg(F.collect_set("c").alias("met"))
+        hit = _inline(base.dropDuplicates(["key"]).join(met, "key"), ["key", "met"], lines="split(text, '\n', -1)")
+        hit = hit.selectExpr("key", "inline(transform(met, c -> named_struct('h', c.h, 's', c.s, 'e', c.e, 'chunk', array_join(slice(lines, c.s + 1, c.e - c.s), '\n'), 'is_first', c.is_first)))").select("h", "key", "s", "e", "chunk", "is_first")
     hit = stash(hit, "line-chunks")
     first = hit.where("is_first").groupBy("h").agg(F.first("chunk").alias("kept"))
     gone = hit.where("not is_first").join(first, "h").where("chunk = kept").select("key", "s", "e")

@@ -17,6 +17,7 @@ histories of the corpus probabilities add up to one. For a history without count
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -115,15 +116,14 @@ def _shift(ranges: int) -> np.uint64:
 class Filter:
     """Segments of some ranges."""
 
-    def __init__(self, ranges: int, rows: list[tuple[int, int, bytes]]):
+    def __init__(self, ranges: int, rows: Iterable[tuple[int, int, bytes]]):
         self.shift = _shift(ranges)
         self.size, self.base, self.own = np.ones(ranges, np.uint64), np.zeros(ranges, np.int64), np.zeros(ranges, bool)
-        raw, at = [], 0
+        raw = bytearray()
         for r, size, data in rows:
-            self.size[r], self.base[r], self.own[r] = size, at * 8, True
-            raw.append(data)
-            at += len(data)
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+            self.size[r], self.base[r], self.own[r] = size, len(raw) * 8, True
+            raw += data
+        self.raw = np.frombuffer(raw, np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each bigram; 0: not there."""
@@ -305,7 +305,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     share = 1 - seen.once / seen.tokens if seen.tokens else 0.0
     rest = 1 - share * (seen.kept / seen.tokens if seen.tokens else 0.0)
     small = (seen.bytes or 0) <= broadcast_bytes
-    shared = spark.sparkContext.broadcast(Filter(ranges, [(r["range"], r.bits, bytes(r.data)) for r in segments.select("range", "bits", "data").collect()])) if small else None
+    # partition by partition, so that the driver holds the filter once
+    shared = spark.sparkContext.broadcast(Filter(ranges, ((r["range"], r.bits, r.data) for r in segments.select("range", "bits", "data").coalesce(16).toLocalIterator()))) if small else None
     answers = None if small else _answered(_asked(rows, ranges), segments, ranges, parts)
 
     def finish(values: Values, ids, lens, numbers):

@@ -167,3 +167,18 @@ def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a b\nc d")], "doc_id long, text string")
     plan = line_dedup(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_shuffled_chunks_give_the_same(spark, monkeypatch):
+    """More repeated chunks than a broadcast takes: hashes meet first, texts travel once."""
+    rng = random.Random(9)
+    shared = ["\n".join(" ".join(f"w{rng.randrange(900)}" for _ in range(9)) for _ in range(4)) for _ in range(6)]
+    rows = [(i if i % 7 else None, "\n".join([f"own {i} " + " ".join(f"x{rng.randrange(9**6)}" for _ in range(25)), rng.choice(shared), f"end {i}"])) for i in range(60)] + [(3, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from leafmill.llm import line_dedup as L
+
+    got = []
+    for most in (L.BROADCAST_HASHES, 0):
+        monkeypatch.setattr(L, "BROADCAST_HASHES", most)
+        got.append(sorted(map(str, L.line_dedup(docs).collect())))
+    assert got[0] == got[1] and sum("n_removed=0" not in r for r in got[0]) > 40
