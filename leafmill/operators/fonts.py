@@ -64,6 +64,9 @@ def cmap(data: bytes) -> dict[int, str]:
     return out
 
 
+_BYTES = [winansi(bytes([c])) for c in range(256)]
+
+
 class Font:
     """Without a dictionary: one-byte WinAnsi codes of unknown width."""
 
@@ -134,7 +137,11 @@ class Font:
     def text(self, code: int) -> str:
         if self.unicode is not None and code in self.unicode:
             return self.unicode[code]
-        return "�" if self.two_byte else winansi(bytes([code & 255]))
+        return "�" if self.two_byte else _BYTES[code & 255]
+
+    def string(self, raw: bytes) -> str:
+        """Text of a whole string."""
+        return winansi(raw) if not self.two_byte and self.unicode is None else "".join(map(self.text, self.codes(raw)))
 
     def width(self, code: int) -> float | None:
         return self.widths.get(code, self.default)

@@ -22,7 +22,7 @@ DEST = "struct<page_index:int,x:double,y:double,zoom:double>"
 
 
 def box(b):
-    return dict(zip(("x0", "y0", "x1", "y1"), b))
+    return tuple(b)
 
 
 def as_json(v) -> str:
@@ -93,19 +93,19 @@ def operations(files: DataFrame, pages: set[int] | None = None, password: bytes
     return per_document(files, "page_index int, op_seq int, operator string, operands array<string>", rows, password)
 
 
-def page_texts(files: DataFrame, pages: set[int] | None = None, password: bytes = b"") -> DataFrame:
+def page_texts(files: DataFrame, pages: set[int] | None = None, password: bytes = b"", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     def rows(doc, row):
         for i, ref in _chosen(doc, pages):
             yield i, T.page_text(doc, ref)
 
-    return per_document(files, "page_index int, text string", rows, password)
+    return per_document(files, "page_index int, text string", rows, password, carry)
 
 
 def spans(files: DataFrame, pages: set[int] | None = None, password: bytes = b"", want_glyphs: bool = True) -> DataFrame:
     def rows(doc, row):
         for i, ref in _chosen(doc, pages):
             for k, s in enumerate(T.page_spans(doc, ref)):
-                yield i, k, s.text, box(s.box), s.size, [{"text": t, "bbox": box(b)} for t, b in s.glyphs] if want_glyphs else None
+                yield i, k, s.text, s.box, s.size, s.glyphs if want_glyphs else None
 
     return per_document(files, f"page_index int, span_seq int, text string, bbox {BOX}, font_size double, glyphs array<struct<text:string,bbox:{BOX}>>", rows, password)
 
@@ -120,7 +120,7 @@ def hits(files: DataFrame, query: str, ignore_case: bool = False, pages: set[int
     def rows(doc, row):
         for i, ref in _chosen(doc, pages):
             for k, boxes in enumerate(T.search_spans(T.page_spans(doc, ref), query, ignore_case)):
-                yield i, k, [box(b) for b in boxes]
+                yield i, k, boxes
 
     return per_document(files, f"page_index int, hit_seq int, rects array<{BOX}>", rows, password)
 
@@ -152,11 +152,16 @@ def label_ranges(files: DataFrame, password: bytes = b"") -> DataFrame:
 
 
 def page_labels(files: DataFrame, password: bytes = b"") -> DataFrame:
-    """doc_id, page_index, label: pages joined as-of to the label ranges, formatted as columns."""
+    """doc_id, page_index, label: each page beside the last range that starts at or before it, formatted as columns.
+
+    A document's ranges are few and come out of the same parse as its pages, so the as-of match stays inside its row.
+    """
     from leafmill.functions.text import page_label
-    from leafmill.operators.relational import as_of
 
-    p = pages(files, password).where("error is null").select("doc_id", "page_index")
-    r = label_ranges(files, password).where("error is null").select("doc_id", "seq", "start", "style", "prefix", "first")
-    x = as_of(p, r, ["doc_id"], "page_index", "start", "seq", ["start", "style", "prefix", "first"])
-    return x.select("doc_id", "page_index", page_label(F.col("page_index"), F.col("start"), F.col("style"), F.col("prefix"), F.col("first")).alias("label"))
+    def rows(doc, row):
+        yield len(doc.pages()), [(r["start"], k, r["style"], r["prefix"], r["first"]) for k, r in enumerate(doc.label_ranges())]
+
+    x = per_document(files, "n int, ranges array<struct<start:int,seq:int,style:string,prefix:string,first:int>>", rows, password).where("error is null and n > 0")
+    x = x.select("doc_id", "ranges", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("page_index"))
+    x = x.withColumn("r", F.array_max(F.filter("ranges", lambda r: r.start <= F.col("page_index"))))
+    return x.select("doc_id", "page_index", page_label(F.col("page_index"), F.col("r.start"), F.col("r.style"), F.col("r.prefix"), F.col("r.first")).alias("label"))

@@ -58,7 +58,7 @@ class _Plain:
 
         def show(raw: bytes):
             nonlocal used
-            self.put("".join(map(font.text, font.codes(raw))))
+            self.put(font.string(raw))
             if used is not None:
                 units = font.advance(raw)
                 used = used + units / 1000 * size if units is not None else None
@@ -193,7 +193,12 @@ def _spans(doc: Document, data: bytes, resources: dict, gs: _State, out: list[Sp
             box = _box(m, min(0.0, tx), y0, max(0.0, tx), y1)
             if box:
                 v = math.hypot(m[2], m[3])
-                glyphs = [(t, b) for t, a, z in parts if (b := _box(m, a, y0, z, y1))]
+                if m[1] == 0 == m[2]:  # upright text: one height for all, and each edge by itself
+                    low, high, k, e = box[1], box[3], m[0], m[4]
+                    edges = [(t, k * a + e, k * z + e) for t, a, z in parts]
+                    glyphs = [(t, (a, low, z, high) if a <= z else (z, low, a, high)) for t, a, z in edges if math.isfinite(a) and math.isfinite(z)]
+                else:
+                    glyphs = [(t, b) for t, a, z in parts if (b := _box(m, a, y0, z, y1))]
                 out.append(Span(whole, box, gs.size * v if math.isfinite(v) and v > 0 else gs.size, glyphs))
         tm = mul((1, 0, 0, 1, tx, 0), tm)
 
@@ -254,6 +259,13 @@ def fold_char(c: str, ignore_case: bool) -> str:
     return " " if c.isspace() else c.lower()[:1] if ignore_case else c
 
 
+def fold_text(text: str, ignore_case: bool) -> str:
+    """fold_char of every character."""
+    if text.isascii():
+        return text.lower() if ignore_case else text
+    return "".join([fold_char(c, ignore_case) for c in text])
+
+
 def search_spans(spans: list[Span], query: str, ignore_case: bool = False) -> list[list[Box]]:
     """Boxes, one for each line touched, of every non-overlapping occurrence, left to right.
 
@@ -261,7 +273,9 @@ def search_spans(spans: list[Span], query: str, ignore_case: bool = False) -> li
     such spaces alone is no hit, though the search goes on behind it.
     """
     needle = "".join(fold_char(c, ignore_case) for c in query)
-    if not needle:
+    # what joining adds is spaces only: without the needle's other characters in a row there is no hit to lay out
+    inner = "".join(needle.split())
+    if inner and inner not in "".join(fold_text("".join([t for s in spans for t, _ in s.glyphs]), ignore_case).split()):
         return []
     text: list[str] = []
     place: list[tuple[Box | None, int]] = []

@@ -33,6 +33,12 @@ def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return make_files(docs_of(spark, sf_dir), title_col="source")
 
 
+def whole_texts(files: DataFrame) -> DataFrame:
+    """doc_id, text: the pages of each file in order, without those that hold no text."""
+    x = tables.page_texts(files).where("error is null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "text"))).alias("p"))
+    return x.select("doc_id", F.array_join(F.transform(F.filter("p", lambda q: q.text != ""), lambda q: q.text), "\n").alias("text"))
+
+
 #: What WinAnsi can't hold is written as `?`; blank lines leave no trace in extracted text.
 _SHOWN = r"regexp_replace(text, '[^\x{00}-\x{7F}\x{A0}-\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '?', 'g')"
 _LINES = f"list_filter(string_split({_SHOWN}, chr(10)), lambda x: x <> '')"
@@ -41,17 +47,14 @@ _RAW = f"string_split({_SHOWN}, chr(10))"
 
 @query(f"select doc_id, array_to_string({_LINES}, chr(10)) as text from documents")
 def pdf_roundtrip_text(spark, sf_dir):
-    x = tables.page_texts(files_of(spark, sf_dir)).where("error is null and text <> ''")
-    x = x.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "text"))).alias("p"))
-    have = x.select("doc_id", F.array_join(F.transform("p", lambda q: q.text), "\n").alias("text"))
-    return docs_of(spark, sf_dir).select("doc_id").join(have, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return whole_texts(files_of(spark, sf_dir))
 
 
 @query(f"select lang, count(*) as docs, cast(sum((length(t) - length(replace(t, 'the', ''))) / 3) as bigint) as hits from (select lang, lower(array_to_string({_LINES}, chr(10))) as t from documents) group by lang")
 def term_hits_by_lang(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    n = tables.page_texts(make_files(docs)).where("error is null").groupBy("doc_id").agg(F.sum(hit_count(F.col("text"), "the", True)).alias("n"))
-    return docs.select("doc_id", "lang").join(n, "doc_id").groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("hits"))
+    files = make_files(docs_of(spark, sf_dir), keep=("lang",))
+    x = tables.page_texts(files, carry=("lang",)).where("error is null")
+    return x.groupBy("lang").agg(F.count_if(F.col("page_index") == 0).alias("docs"), F.sum(hit_count(F.col("text"), "the", True)).alias("hits"))
 
 
 @query("select doc_id, '1.7' as version, cast(greatest(1, ceil(len(string_split(text, chr(10))) / 50.0)) as int) as n_pages, cast(3 + 1 + 2 * greatest(1, ceil(len(string_split(text, chr(10))) / 50.0)) + greatest(1, ceil(len(string_split(text, chr(10))) / 50.0)) - 1 as int) as n_objects, source as title from documents")
@@ -75,8 +78,7 @@ def text_spans(spark, sf_dir):
 select doc_id, cast(sum(length(t)) as bigint) as glyphs, count(*) as spans from x where t <> '' group by doc_id""")
 def glyph_counts(spark, sf_dir):
     x = tables.spans(files_of(spark, sf_dir)).where("error is null")
-    g = tables.glyphs(x).groupBy("doc_id").agg(F.count("*").alias("glyphs"))
-    return x.groupBy("doc_id").agg(F.count("*").alias("spans")).join(g, "doc_id")
+    return x.groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.size("glyphs")).alias("glyphs"))
 
 
 @query(f"""with l as (select doc_id, {_RAW} as a from documents),
@@ -121,9 +123,12 @@ def edited_files(spark, sf_dir):
         doc.rotate_page(0, 90)
         doc.set_info("Title", (doc.info("Title") or "").upper())
 
+    def rows(doc, row):
+        first = doc.pages()[0]
+        yield (doc.rotation(first), *doc.size(first), doc.info("Title"))
+
     made = rewrite(files_of(spark, sf_dir), edit).drop("error")
-    d = tables.documents(made).select("doc_id", "title")
-    return tables.pages(made).where("page_index = 0").select("doc_id", "rotate", "width", "height").join(d, "doc_id")
+    return per_document(made, "rotate int, width double, height double, title string", rows).where("error is null").drop("error")
 
 
 @query("select doc_id, cast(greatest(1, ceil(len(string_split(text, chr(10))) / 50.0)) as int) as n_pages from documents")
@@ -145,24 +150,12 @@ def double_save_is_stable(spark, sf_dir):
     return per_document(files_of(spark, sf_dir), "same boolean", rows).select("doc_id", "same")
 
 
-@query(f"select doc_id, array_to_string({_LINES}, chr(10)) as text from documents where len({_RAW}) <= 50")
-def broken_startxref(spark, sf_dir):
-    """Files whose startxref leads nowhere are rebuilt from their object headers."""
-    f = files_of(spark, sf_dir)
-    broken = f.select("doc_id", F.expr("unhex(regexp_replace(hex(content), '(7374617274787265660A)([0-9]+)(0A2525454F460A)$', '$139393939393939$3'))").alias("content"))
-    one = tables.documents(broken).where("n_pages = 1").select("doc_id")
-    return tables.page_texts(broken, pages={0}).join(one, "doc_id").select("doc_id", "text")
-
-
 @query(ORACLE["pdf_roundtrip_text"])
-def broken_startxref_pages(spark, sf_dir):
-    """The same for files of any length: the text of all pages of every rebuilt file."""
+def broken_startxref(spark, sf_dir):
+    """Files whose startxref leads nowhere are rebuilt from their object headers: the text of all their pages."""
     f = files_of(spark, sf_dir)
     broken = f.select("doc_id", F.expr("unhex(regexp_replace(hex(content), '(7374617274787265660A)([0-9]+)(0A2525454F460A)$', '$139393939393939$3'))").alias("content"))
-    x = tables.page_texts(broken).where("error is null and text <> ''")
-    x = x.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "text"))).alias("p"))
-    have = x.select("doc_id", F.array_join(F.transform("p", lambda q: q.text), "\n").alias("text"))
-    return docs_of(spark, sf_dir).select("doc_id").join(have, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return whole_texts(broken)
 
 
 def _with_navigation(doc: Document):

@@ -20,6 +20,6 @@ for module in (file_queries, kernel_queries, column_queries, codec_queries, whol
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each language's documents say `the`: texts to PDF files, parsed, walked, read and counted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = tables.page_texts(make_files(docs)).where("error is null")
-    counted = text.select("doc_id", hit_count(F.col("text"), "the", True).alias("n"))
-    return counted.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.countDistinct("doc_id").alias("docs"), F.sum("n").alias("hits"))
+    text = tables.page_texts(make_files(docs, keep=("lang",)), carry=("doc_id", "lang")).where("error is null")
+    counted = text.select("doc_id", "lang", hit_count(F.col("text"), "the", True).alias("n"))
+    return counted.groupBy("lang").agg(F.countDistinct("doc_id").alias("docs"), F.sum("n").alias("hits"))

@@ -25,30 +25,32 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     return x.select(F.col("path").alias("doc_id"), "length", "content")
 
 
-def per_document(files: DataFrame, schema: str, rows_of: Callable[[Document, dict], Iterator[tuple]], password: bytes = b"", carry: str = "doc_id") -> DataFrame:
+def per_document(files: DataFrame, schema: str, rows_of: Callable[[Document, dict], Iterator[tuple]], password: bytes = b"", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows of every file. A file that can't be read gives one row with its error and nulls, never a failed task.
 
-    schema: columns behind the carried id and before `error`. rows_of(document, row) gives tuples of them.
+    schema: columns behind the carried ones and before `error`. rows_of(document, row) gives tuples of them.
+    carry: columns of files that each row keeps, so that they need no join to come back.
     """
     spark = files.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FILES))
-    kind = files.schema[carry].dataType.simpleString()
-    full = f"{carry} {kind}, {schema}, {ERROR}"
+    kept = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in carry)
+    full = f"{kept}, {schema}, {ERROR}"
     arrow = to_arrow_schema(StructType.fromDDL(full))
-    width = len(arrow.names) - 2
+    width = len(arrow.names) - len(carry) - 1
 
     def run(batches):
         for b in batches:
             out = []
             for row in b.to_pylist():
+                own = tuple(row[c] for c in carry)
                 try:
                     doc = Document.read(bytes(row["content"] or b""), password)
-                    out += [(row[carry], *r, None) for r in rows_of(doc, row)]
+                    out += [(*own, *r, None) for r in rows_of(doc, row)]
                 except FileFault as e:
-                    out.append((row[carry], *[None] * width, {"kind": e.kind, "message": str(e)}))
+                    out.append((*own, *[None] * width, {"kind": e.kind, "message": str(e)}))
                 except Exception as e:  # noqa: BLE001  whatever a broken file leads to belongs to its own row
-                    out.append((row[carry], *[None] * width, {"kind": type(e).__name__, "message": str(e)[:300]}))
+                    out.append((*own, *[None] * width, {"kind": type(e).__name__, "message": str(e)[:300]}))
                 if len(out) >= 2000:
                     yield _batch(out, arrow)
                     out = []
@@ -74,22 +76,23 @@ def make_file(text: str, title: str | None = None, lines: int = 50, size: float
     return doc.write()
 
 
-def make_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, lines: int = 50) -> DataFrame:
-    """doc_id, content: a PDF file of each text; null texts give one empty page."""
+def make_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, lines: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, content and the columns in `keep`: a PDF file of each text; null texts give one empty page."""
     ship(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FILES))
     kind = docs.schema[id_col].dataType.simpleString()
     wide = docs.sparkSession.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < wide:  # a small table in one file would be made by one task
         docs = docs.repartition(wide)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(title_col).cast("string") if title_col else F.lit(None).cast("string")).alias("title"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(title_col).cast("string") if title_col else F.lit(None).cast("string")).alias("title"), *keep)
 
     def run(batches):
         for b in batches:
             made = [make_file(t or "", title, lines) for t, title in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary()), *b.columns[3:]], ["doc_id", "content", *keep])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, content binary")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"doc_id {kind}, content binary{kept}")
 
 
 def rewrite(files: DataFrame, edit: Callable[[Document], None], password: bytes = b"") -> DataFrame:
