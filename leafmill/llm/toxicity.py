@@ -3,6 +3,7 @@
 The examples are a bounded sample of labelled rows; every word that stands in any of them is in the vectors and in
 their norms. A word weighs (1 + ln tf) * idf * its association with the label, a smooth function of chi-square between
 LEAST and 1 which no word fails; so the few words that tell the labels apart aren't drowned by hundreds that don't.
+It rises with the square: among many words some have a chi-square of 10 by chance, and must not outweigh one of 24.
 
 The index keeps postings of words in blocks of 64 examples. Rare words are added up exactly, word by word; for common
 ones each block has the largest weight of each word. A query scores blocks in the order of the bounds that these
@@ -67,7 +68,7 @@ class Index:
         cross = bad * (n - pos - (df - bad)) - (df - bad) * (pos - bad)
         chi = n * cross * cross / np.maximum(max(pos, 1) * max(n - pos, 1) * df * (n - df), 1e-9)
         chi[df >= n] = 0
-        self.idf = (np.log((1 + n) / (1 + df)) + 1) * (LEAST + (1 - LEAST) * chi / (chi + HALF_CHI))
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * (LEAST + (1 - LEAST) * chi**2 / (chi**2 + HALF_CHI**2))
         vectors = [self.vector(e[2], e[3]) for e in examples]
         blank = [k for k, (t, _) in enumerate(vectors) if not len(t)]
         got = [sum(weight[labels[k]] for k in blank if labels[k] == x) for x in (0, 1)]
