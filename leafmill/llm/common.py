@@ -27,12 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives a lost executor."""
+def stash(df: DataFrame, name: str, codec: str = "zstd", rows_a_file: int = 0) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives a lost executor. rows_a_file: at most, 0 for any."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("maxRecordsPerFile", rows_a_file).parquet(path)
     _stashed.append(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,6 +34,8 @@ LEAST, HALF_CHI = 0.02, 20.0
 BLOCK, NEAREST, VISIT = 64, 15, 4
 #: A word in this share of the examples is common; texts that are compared together.
 COMMON, TOGETHER = 1 / 8, 64
+#: Bytes of the packed index in one row; the driver takes a few such rows at a time.
+PIECE = 4 << 20
 
 
 class Terms:
@@ -68,6 +71,7 @@ class Index:
         chi = n * cross * cross / np.maximum(max(pos, 1) * max(n - pos, 1) * df * (n - df), 1e-9)
         chi[df >= n] = 0
         self.idf = (np.log((1 + n) / (1 + df)) + 1) * (LEAST + (1 - LEAST) * chi / (chi + HALF_CHI))
+        del flat, number, of  # each as long as all postings
         vectors = [self.vector(e[2], e[3]) for e in examples]
         blank = [k for k, (t, _) in enumerate(vectors) if not len(t)]
         got = [sum(weight[labels[k]] for k in blank if labels[k] == x) for x in (0, 1)]
@@ -87,6 +91,7 @@ class Index:
         rows = np.repeat(np.arange(len(order)), [len(vectors[k][0]) for k in order])
         term = np.concatenate([vectors[k][0] for k in order]) if order else np.zeros(0, np.int64)
         value = np.concatenate([vectors[k][1] for k in order]) if order else np.zeros(0)
+        del vectors
         # common words: a column of a dense matrix each; their largest weight in each block
         self.column = np.full(len(self.names), -1, np.int64)
         self.column[common] = np.arange(int(common.sum()))
@@ -205,9 +210,9 @@ _loaded: dict[str, Index] = {}
 
 
 class Model:
-    """A fitted index, broadcast as bytes, and the curve of its votes. The driver holds no more than the bytes."""
+    """A fitted index, broadcast as packed bytes, and the curve of its votes. The driver holds no more than the bytes."""
 
-    def __init__(self, spark, raw: bytes):
+    def __init__(self, spark, raw: bytes | bytearray):
         self.shared, self.name = spark.sparkContext.broadcast(raw), hashlib.md5(raw).hexdigest()
         self.slope, self.shift = 1.0, 0.0
 
@@ -218,7 +223,7 @@ class Model:
         def load() -> Index:
             if name not in _loaded:
                 _loaded.clear()
-                _loaded[name] = pickle.loads(shared.value)
+                _loaded[name] = pickle.loads(zlib.decompress(shared.value))
             return _loaded[name]
 
         return load
@@ -266,13 +271,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def build(batches):  # one task: the sample's bound is its bound, and the driver needs no room for it
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        index = Index([(i, label, np.frombuffer(h, "<u8"), np.frombuffer(n, "<u4")) for i, label, h, n in sorted(rows)], weight)
-        raw = pickle.dumps(index, protocol=5)
-        for k in range(0, len(raw), 4 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([raw[k : k + (4 << 20)]], pa.binary())], ["at", "raw"])
-
-    raw = b"".join(r.raw for r in sorted(counts.repartition(1).mapInArrow(build, "at long, raw binary").collect()))
+        raw = pickle.dumps(Index([(i, label, np.frombuffer(h, "<u8"), np.frombuffer(n, "<u4")) for i, label, h, n in sorted(rows)], weight), protocol=5)
+        rows.clear()
+        raw = zlib.compress(raw, 1)
+        for k in range(0, len(raw), piece):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([raw[k : k + piece]], pa.binary())], ["at", "size", "raw"])
+
+    piece, parts = PIECE, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a collect would hold the whole index several times over in the driver: its heap, its socket and its Python
+    pieces = stash(counts.repartition(1).mapInArrow(build, "at long, size long, raw binary"), "toxicity-index", rows_a_file=1)
+    raw = bytearray()
+    for r in pieces.toLocalIterator():
+        raw = raw or bytearray(r["size"])
+        raw[r["at"] : r["at"] + len(r["raw"])] = r["raw"]
     model = Model(spark, raw)
+    del raw
     if pos and neg:
         load = model.loader()
 
@@ -285,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     near = index.nearest([index.vector(np.frombuffer(h, "<u8"), np.frombuffer(n, "<u4")) for _, _, h, n in some], but=[row[x[0]] for x in some])
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int32()), pa.array([index.vote(*x) for x in near], pa.float64())], ["id", "label", "vote"])
 
-        votes = counts.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(leave_out, "id long, label int, vote double").collect()
+        votes = counts.repartition(parts).mapInArrow(leave_out, "id long, label int, vote double").collect()
         model.slope, model.shift = logistic([(r.label, r.vote) for r in sorted(votes, key=lambda r: r.id)], weight)
     return model
 

@@ -282,6 +282,28 @@ def test_rare_toxic_words_count_in_large_samples(spark):
     assert all(got[5000 + i] == 1 for i in range(300)) and not any(got[6000 + i] for i in range(50))
 
 
+def test_index_comes_to_the_driver_in_pieces(spark, monkeypatch):
+    """An index of more bytes than the driver takes as the results of one job."""
+    rng = random.Random(5)
+    rows = [(j, " ".join(f"w{rng.randrange(30000)}" for _ in range(100)) + " bad" * (j % 2)) for j in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(j, j % 2) for j in range(2000)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "PIECE", 64 << 10)
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "1m")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        model = toxicity.fit(docs, labels)
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    packed = model.shared.value
+    assert len(packed) > 1 << 20 and len(zlib.decompress(packed)) > len(packed)
+    terms = toxicity.Terms()
+    whole = toxicity.Index([(j, j % 2, *terms(t)) for j, t in rows], model.index.weight)
+    assert all(np.array_equal(getattr(model.index, k), getattr(whole, k)) for k in ("names", "idf", "ids", "labels", "dense", "rows", "values"))
+
+
 @pytest.mark.parametrize("count,level", [(1, 1), (2, 3), (3, 4), (4, 5), (5, 5), (6, 6), (8, 7)])
 def test_quantised_levels(count, level):
     assert scoring.quantise(np.array([count])).tolist() == [level] and scoring.least(np.array([level]))[0] <= count
