@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -322,6 +323,25 @@ def test_ciphers():
     assert security.aes_open(key, b"short") == b"short"
 
 
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 48, 1000])
+def test_library_ciphers_agree_with_the_plain_ones(n):
+    data, iv = random.Random(n).randbytes(n), bytes(range(16))
+    for size in (5, 16, 24, 32):
+        key = random.Random(size).randbytes(size)
+        assert security.rc4(key, data) == security.plain_rc4(key, data)
+        if size > 5:
+            whole = data[: n // 16 * 16]
+            assert security.cbc_encrypt(key, whole, iv) == security.plain_cbc_encrypt(key, whole, iv)
+            assert security.cbc_decrypt(key, data, iv) == security.plain_cbc_decrypt(key, data, iv)
+
+
+def test_ciphers_are_no_loop_of_bytes():
+    data, began = bytes(4_000_000), time.process_time()
+    assert security.rc4(b"0123456789abcdef", security.rc4(b"0123456789abcdef", data)) == data
+    assert security.aes_open(b"0123456789abcdef", security.aes_seal(b"0123456789abcdef", data, bytes(16))) == data
+    assert time.process_time() - began < 5
+
+
 def _locked(r, v, bits, aes):
     """A file encrypted with an empty user password and the owner password `owner`."""
     doc, file_id = made("Hello, Encrypted PDF!"), b"0123456789abcdef"
