@@ -6,7 +6,7 @@ Ordered picks use min_by / max_by, which combine on the map side, rather than wi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,41 +37,65 @@ def dereference(refs: DataFrame, objects: DataFrame, doc: str = "doc_id", num: s
     return x.withColumn(value, F.when(F.col("__hit"), F.col("__exact")).otherwise(F.col("__low"))).drop("__exact", "__low", "__hit")
 
 
+def _any_number_of_rows(spark: SparkSession) -> SparkSession:
+    """A recursive query stops with an error beyond a million rows unless told otherwise; depth bounds these."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark
+
+
 def tree_walk(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
     """doc_id, node, level, path of every node below the roots in document order, each node at its first path.
 
     edges: doc_id, parent, node, seq; roots: doc_id, node. Paths hold the place of each step, so ordering by path is
-    pre-order. A node met again further on (a cycle or a shared kid) counts where it stands first.
+    pre-order. A node met again further on (a cycle or a shared kid) counts where it stands first. Only nodes with kids
+    go through the recursion; leaves are joined to it once.
     """
-    spark = edges.sparkSession
+    spark = _any_number_of_rows(edges.sparkSession)
+    parents = edges.select("doc_id", F.col("parent").alias("node")).distinct()
+    inner = edges.join(parents, ["doc_id", "node"], "left_semi")
+    leaves = edges.join(parents, ["doc_id", "node"], "left_anti").select("doc_id", "parent", "node", "seq", F.lit(True).alias("leaf"))
+    # a node that was walked to stands for itself and for its leaves
+    own = inner.select("doc_id", "node").unionByName(roots.select("doc_id", "node")).distinct().select("doc_id", F.col("node").alias("parent"), "node", F.lit(0).alias("seq"), F.lit(False).alias("leaf"))
     sql = """
     WITH RECURSIVE walk(doc_id, node, level, path, seen) MAX RECURSION LEVEL 100 AS (
         SELECT doc_id, node, 0, CAST(array() AS ARRAY<INT>), array(node) FROM {roots}
         UNION ALL
         SELECT e.doc_id, e.node, w.level + 1, array_append(w.path, CAST(e.seq AS INT)), array_append(w.seen, e.node)
-        FROM walk w JOIN {edges} e ON e.doc_id = w.doc_id AND e.parent = w.node
-        WHERE w.level < %d AND NOT array_contains(w.seen, e.node))
-    SELECT doc_id, node, min(struct(path, level)) AS first FROM walk GROUP BY doc_id, node""" % depth
-    x = spark.sql(sql, edges=edges, roots=roots)
+        FROM walk w JOIN {inner} e ON e.doc_id = w.doc_id AND e.parent = w.node
+        WHERE w.level < %d AND NOT array_contains(w.seen, e.node)),
+    every AS (
+        SELECT e.doc_id, e.node, if(leaf, array_append(w.path, CAST(e.seq AS INT)), w.path) AS path, w.level + CAST(leaf AS INT) AS level
+        FROM walk w JOIN {ends} e ON e.doc_id = w.doc_id AND e.parent = w.node
+        WHERE NOT leaf OR w.level < %d AND NOT array_contains(w.seen, e.node))
+    SELECT doc_id, node, min(struct(path, level)) AS first FROM every GROUP BY doc_id, node""" % (depth, depth)
+    x = spark.sql(sql, inner=inner, ends=leaves.unionByName(own), roots=roots)
     return x.select("doc_id", "node", F.col("first.level").alias("level"), F.col("first.path").alias("path"))
 
 
 def inherited(nodes: DataFrame, attribute: str, depth: int = 64) -> DataFrame:
     """doc_id, node, value: the attribute of the nearest of a node and its ancestors that has one.
 
-    nodes: doc_id, node, parent (null at a root), and the attribute (null where it isn't set).
+    nodes: doc_id, node, parent (null at a root), and the attribute (null where it isn't set). Only nodes that are parents
+    go through the recursion; every node then looks at itself and its parent.
     """
-    spark = nodes.sparkSession
+    spark = _any_number_of_rows(nodes.sparkSession)
+    parents = nodes.where("parent is not null").select("doc_id", F.col("parent").alias("node")).distinct()
+    names = {"a": attribute, "depth": depth}
+    inner = nodes.join(parents, ["doc_id", "node"], "left_semi")
     sql = """
     WITH RECURSIVE up(doc_id, node, at, level) MAX RECURSION LEVEL 100 AS (
         SELECT doc_id, node, node, 0 FROM {nodes}
         UNION ALL
         SELECT u.doc_id, u.node, n.parent, u.level + 1
         FROM up u JOIN {nodes} n ON n.doc_id = u.doc_id AND n.node = u.at
-        WHERE n.parent IS NOT NULL AND n.%s IS NULL AND u.level < %d)
-    SELECT u.doc_id, u.node, min_by(n.%s, u.level) FILTER (WHERE n.%s IS NOT NULL) AS value
-    FROM up u JOIN {nodes} n ON n.doc_id = u.doc_id AND n.node = u.at GROUP BY u.doc_id, u.node""" % (attribute, depth, attribute, attribute)
-    return spark.sql(sql, nodes=nodes)
+        WHERE n.parent IS NOT NULL AND n.%(a)s IS NULL AND u.level < %(depth)d)
+    SELECT u.doc_id, u.node, min(u.level) AS level, min_by(n.%(a)s, u.level) AS value
+    FROM up u JOIN {nodes} n ON n.doc_id = u.doc_id AND n.node = u.at WHERE n.%(a)s IS NOT NULL GROUP BY u.doc_id, u.node""" % names
+    above = spark.sql(sql, nodes=inner)
+    sql = """
+    SELECT n.doc_id, n.node, coalesce(min_by(n.%(a)s, 0) FILTER (WHERE n.%(a)s IS NOT NULL), min_by(r.value, r.level) FILTER (WHERE r.level < %(depth)d)) AS value
+    FROM {nodes} n LEFT JOIN {above} r ON r.doc_id = n.doc_id AND r.node = n.parent AND n.%(a)s IS NULL GROUP BY n.doc_id, n.node""" % names
+    return spark.sql(sql, nodes=nodes, above=above)
 
 
 def subsections(ids: DataFrame, doc: str = "doc_id", num: str = "num") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import pdf_functions as P
 from leafmill.functions import text as T
+from leafmill.operators import relational as R
 from leafmill.operators import tables
 from leafmill.operators.colorspaces import run_calculator
 from leafmill.operators.tiles import render_tiles
@@ -105,3 +106,31 @@ def test_long_files_are_rebuilt_with_all_pages(spark):
     got = {r.doc_id: r.text for r in registry.QUERIES["broken_startxref_pages"](spark, SF).collect()}
     assert got == dict(want) and len(got) == con.sql("select count(*) from documents").fetchall()[0][0]
     assert any(t.count("\n") > 50 for t in got.values())
+
+
+def test_recursion_over_more_rows_than_the_limit(spark):
+    """A root, ten kids and 1,200 leaves where Spark would stop at 1,000 rows: each leaf has its own value, or that of its parent or of the root."""
+    n = 1_200
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")  # Spark's own is a million
+    leaf = spark.range(n).select(F.lit(0).alias("doc_id"), F.concat(F.lit("l"), "id").alias("node"), F.concat(F.lit("k"), F.col("id") % 10).alias("parent"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("box"), F.col("id").cast("int").alias("seq"))
+    kid = spark.range(10).select(F.lit(0).alias("doc_id"), F.concat(F.lit("k"), "id").alias("node"), F.lit("root").alias("parent"), F.when(F.col("id") % 2 == 0, -F.col("id") - 2).alias("box"), F.col("id").cast("int").alias("seq"))
+    edges = leaf.unionByName(kid)
+    nodes = edges.drop("seq").unionByName(spark.createDataFrame([(0, "root", None, -1)], "doc_id int, node string, parent string, box long"))
+    got = R.inherited(nodes, "box").where("node like 'l%'").withColumn("id", F.substring("node", 2, 20).cast("long"))
+    want = F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 2 == 0, -F.col("id") % 10 - 2).otherwise(-1)
+    assert got.agg(F.count("*"), F.count_if(F.col("value") == want)).first() == (n, n)
+    walked = R.tree_walk(edges, spark.createDataFrame([(0, "root")], "doc_id int, node string"))
+    assert walked.groupBy("level").agg(F.count("*")).orderBy("level").collect() == [(0, 1), (1, 10), (2, n)]
+
+
+def test_recursion_over_odd_trees(spark):
+    """A chain longer than the depth, a cycle, a kid of two parents, a parent that isn't there."""
+    chain = [(1, f"n{i}", f"n{i - 1}" if i else None, 7 if i == 0 else None) for i in range(9)]
+    odd = [(2, "a", "b", None), (2, "b", "a", None), (2, "c", "gone", None), (2, "d", "gone", 5), (2, "e", "d", None)]
+    nodes = spark.createDataFrame(chain + odd, "doc_id int, node string, parent string, box long")
+    got = {(r.doc_id, r.node): r.value for r in R.inherited(nodes, "box", depth=5).collect()}
+    assert got == {**{(1, f"n{i}"): 7 if i <= 5 else None for i in range(9)}, (2, "a"): None, (2, "b"): None, (2, "c"): None, (2, "d"): 5, (2, "e"): 5}
+    edges = spark.createDataFrame([(1, "r", "a", 0), (1, "r", "b", 1), (1, "b", "a", 0), (1, "a", "x", 0), (1, "x", "b", 0), (1, "b", "y", 1), (1, "y", "z", 0)], "doc_id int, parent string, node string, seq int")
+    roots = spark.createDataFrame([(1, "r"), (2, "alone")], "doc_id int, node string")
+    got = {(r.doc_id, r.node): (r.level, r.path) for r in R.tree_walk(edges, roots, depth=4).collect()}
+    assert got == {(1, "r"): (0, []), (1, "a"): (1, [0]), (1, "x"): (2, [0, 0]), (1, "b"): (3, [0, 0, 0]), (1, "y"): (4, [0, 0, 0, 1]), (1, "z"): (3, [1, 1, 0]), (2, "alone"): (0, [])}
