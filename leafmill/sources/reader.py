@@ -61,7 +61,11 @@ def per_document(files: DataFrame, schema: str, rows_of: Callable[[Document, dic
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+    def column(values: list, kind: pa.DataType) -> pa.Array:
+        made = next((type(v).arrow for v in values if hasattr(v, "arrow")), pa.array)  # columns that are arrays already
+        return made(values, kind)
+
+    return pa.RecordBatch.from_arrays([column([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def make_file(text: str, title: str | None = None, lines: int = 50, size: float = 12.0) -> bytes:
