@@ -67,10 +67,12 @@ def documents(files: DataFrame, password: bytes = b"") -> DataFrame:
     return per_document(files, "version string, n_objects int, n_pages int, title string, trailer string", rows, password)
 
 
-def objects(files: DataFrame, password: bytes = b"") -> DataFrame:
+def objects(files: DataFrame, password: bytes = b"", want_values: bool = True) -> DataFrame:
+    """Every object; without want_values its value and stream stay null."""
+
     def rows(doc, row):
         for ref, v in sorted(doc.objects.items()):
-            yield ref.num, ref.gen, kind_of(v), as_json(v), v.data if isinstance(v, Stream) else None
+            yield ref.num, ref.gen, kind_of(v), as_json(v) if want_values else None, v.data if want_values and isinstance(v, Stream) else None
 
     return per_document(files, "num bigint, gen int, kind string, value string, stream_raw binary", rows, password)
 
@@ -84,11 +86,13 @@ def pages(files: DataFrame, password: bytes = b"") -> DataFrame:
     return per_document(files, "page_index int, num bigint, gen int, media_box array<double>, rotate int, width double, height double", rows, password)
 
 
-def operations(files: DataFrame, pages: set[int] | None = None, password: bytes = b"") -> DataFrame:
+def operations(files: DataFrame, pages: set[int] | None = None, password: bytes = b"", want_operands: bool = True) -> DataFrame:
+    """Every operation; without want_operands those stay null."""
+
     def rows(doc, row):
         for i, ref in _chosen(doc, pages):
             for k, op in enumerate(parse_content(doc.content(ref))):
-                yield i, k, op.operator, [as_json(a) for a in op.operands]
+                yield i, k, op.operator, [as_json(a) for a in op.operands] if want_operands else None
 
     return per_document(files, "page_index int, op_seq int, operator string, operands array<string>", rows, password)
 
@@ -105,7 +109,7 @@ def spans(files: DataFrame, pages: set[int] | None = None, password: bytes = b""
     def rows(doc, row):
         for i, ref in _chosen(doc, pages):
             for k, s in enumerate(T.page_spans(doc, ref)):
-                yield i, k, s.text, s.box, s.size, s.glyphs if want_glyphs else None
+                yield i, k, s.text, s.box, s.size, s.held if want_glyphs else None
 
     return per_document(files, f"page_index int, span_seq int, text string, bbox {BOX}, font_size double, glyphs array<struct<text:string,bbox:{BOX}>>", rows, password)
 
@@ -136,8 +140,9 @@ def outlines(files: DataFrame, password: bytes = b"") -> DataFrame:
 
 def links(files: DataFrame, pages: set[int] | None = None, password: bytes = b"") -> DataFrame:
     def rows(doc, row):
+        numbers = doc.page_numbers()
         for i, ref in _chosen(doc, pages):
-            for k, x in enumerate(doc.links(ref)):
+            for k, x in enumerate(doc.links(ref, numbers)):
                 yield i, k, box(x["rect"]), x["kind"], x["dest"], x["uri"]
 
     return per_document(files, f"page_index int, link_seq int, rect {BOX}, target_kind string, dest {DEST}, uri string", rows, password)

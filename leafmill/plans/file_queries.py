@@ -100,12 +100,12 @@ def line_assembly(spark, sf_dir):
 select operator, count(*) as n from (
   select unnest(list_concat(['BT', 'Tf', 'TL', 'Td', 'Tj', 'ET'], flatten(list_transform(range(len(a[i * 50 + 1:i * 50 + 50]) - 1), lambda k: ['T*', 'Tj'])))) as operator from p) group by operator""")
 def content_operations(spark, sf_dir):
-    return tables.operations(files_of(spark, sf_dir)).where("error is null").groupBy("operator").agg(F.count("*").alias("n"))
+    return tables.operations(files_of(spark, sf_dir), want_operands=False).where("error is null").groupBy("operator").agg(F.count("*").alias("n"))
 
 
 @query("select kind, count(*) as n from (select unnest(list_concat(['dictionary', 'dictionary', 'dictionary', 'dictionary'], flatten(list_transform(range(cast(greatest(1, ceil(len(string_split(text, chr(10))) / 50.0)) as bigint)), lambda i: if(i = 0, ['dictionary', 'stream'], ['dictionary', 'dictionary', 'stream']))))) as kind from documents) group by kind")
 def object_kinds(spark, sf_dir):
-    return tables.objects(files_of(spark, sf_dir)).where("error is null").groupBy("kind").agg(F.count("*").alias("n"))
+    return tables.objects(files_of(spark, sf_dir), want_values=False).where("error is null").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("select lang, count(*) as docs, cast(sum(greatest(1, ceil(len(string_split(text, chr(10))) / 50.0))) as bigint) as pages from documents group by lang")
