@@ -11,7 +11,8 @@ import math
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -260,15 +261,17 @@ def program(text: str, outputs: int) -> Make:
     compiled = calculator(text)
 
     def interpreted(xs: list[Column]) -> list[Column]:
-        from leafmill.operators.colorspaces import run_calculator
+        from leafmill.operators.colorspaces import run_calculator_columns
         from leafmill.shipping import ship
 
-        ship(SparkSession.getActiveSession())
+        spark = SparkSession.getActiveSession()
+        ship(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows are narrow; file queries lower it
 
-        @F.pandas_udf("array<double>")
-        def run(*inputs: pd.Series) -> pd.Series:
-            rows = (run_calculator(text, [float(x) for x in row]) for row in zip(*inputs))
-            return pd.Series([[*row, *[0.0] * outputs][:outputs] for row in rows])
+        @F.arrow_udf("array<double>")
+        def run(*inputs: pa.Array) -> pa.Array:
+            got = run_calculator_columns(text, [x.cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False) for x in inputs], outputs)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * outputs), pa.array(got.reshape(-1)))
 
         got = run(*[x.cast("double") for x in xs])
         return [F.get(got, F.lit(i)) for i in range(outputs)]

@@ -313,6 +313,72 @@ def test_many_pages_are_added_and_linked_in_one_pass():
     assert doc.add(1) == Ref(30_001, 0) and doc.add(1) == Ref(30_002, 0)
 
 
+def _lzw(data: bytes) -> bytes:
+    """LZW with all code widths, clear codes where the table is nearly full."""
+    table, width, parts, held = {bytes([i]): i for i in range(256)}, 9, [(256, 9)], b""
+    for c in data:
+        x = held + bytes([c])
+        if x in table:
+            held = x
+            continue
+        parts.append((table[held], width))
+        table[x] = len(table) + 2
+        n = len(table) + 2
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        if n > 4090:
+            parts.append((256, width))
+            table, width = {bytes([i]): i for i in range(256)}, 9
+        held = bytes([c])
+    bits = "".join(format(v, f"0{w}b") for v, w in [*parts, *([(table[held], width)] if held else []), (257, width)])
+    return int(bits + "0" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_codecs_are_no_loop_of_bytes():
+    """LZW of every width, PNG rows of every filter in any order, and both of 2 MB."""
+    from leafmill.plans.codec_queries import _PNG, lzw_literals, png_rows
+
+    r = random.Random(3)
+    for n in (0, 1, 250, 251, 1000, 40_000):
+        data = bytes(r.choice(b"abcd e") for _ in range(n))
+        assert codecs.lzw(_lzw(data)) == data == codecs.lzw(lzw_literals(data)) and codecs.predict(png_rows(data), _PNG)[:n] == data
+    for step, columns in ((1, 5), (3, 4), (2, 1)):
+        width = step * columns
+        rows, raw, coded = [0] * width, b"", b""
+        for _ in range(60):
+            how, row = r.randrange(5), [r.randrange(256) for _ in range(width)]
+            coded += bytes([how])
+            for i, v in enumerate(row):
+                a, b, c = (row[i - step] if i >= step else 0), rows[i], (rows[i - step] if i >= step else 0)
+                p = a + b - c
+                guess = (0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2])[how]
+                coded += bytes([(v - guess) % 256])
+            rows, raw = row, raw + bytes(row)
+        assert codecs.predict(coded, {"Predictor": 15, "Colors": step, "Columns": columns}) == raw
+    data, began = r.randbytes(1_000_000), time.process_time()
+    assert codecs.lzw(lzw_literals(data)) == data and codecs.predict(png_rows(data), _PNG)[: len(data)] == data
+    assert time.process_time() - began < 2
+
+
+def test_programs_on_columns_agree_with_the_machine():
+    from leafmill.operators.colorspaces import run_calculator, run_calculator_columns
+
+    r, words = random.Random(4), ["add", "sub", "mul", "div", "mod", "idiv", "round", "floor", "ceiling", "cvi", "neg", "abs", "sqrt", "sin", "gt", "eq", "exch", "dup", "pop", "1", "-2.5", "0", "3", "true", "2 copy", "index", "copy", "2 1 roll", "roll", "{ neg } if", "{ 2 mul dup } { pop } ifelse", "{ dup 0 gt { 1 add } if } if"]
+    for _ in range(400):
+        text = "{ " + " ".join(r.choice(words) for _ in range(r.randrange(1, 14))) + " }"
+        rows = [(r.choice([0.0, 1.0, 2.0, -1.5, 0.25, 1e300, -7.0]), r.choice([0.0, 1.0, 2.0, 3.0, -2.0, 0.05])) for _ in range(12)]
+        try:
+            want = [[*run_calculator(text, list(row)), 0.0, 0.0, 0.0][:3] for row in rows]
+        except (ValueError, OverflowError):
+            with pytest.raises((ValueError, OverflowError)):
+                run_calculator_columns(text, [np.array(x) for x in zip(*rows)], 3)
+            continue
+        assert repr(run_calculator_columns(text, [np.array(x) for x in zip(*rows)], 3).tolist()) == repr(want), text
+    deep, n = "{ 100 mul round 3 mod 7 exch 9 exch index 4 1 roll pop pop pop }", 1_000_000
+    began = time.process_time()
+    got = run_calculator_columns(deep, [np.full(n, 0.04), np.arange(n) % 9 / 100], 1)[:, 0]
+    assert got[:3].tolist() == [9.0, 7.0, 0.04] and time.process_time() - began < 4
+
+
 def test_cmap():
     got = cmap(b"2 beginbfchar <0041> <0058> <0042> <D83DDE00> endbfchar 2 beginbfrange <0050> <0052> <0061> <0060> <0061> [<0031> <0032>] endbfrange")
     assert got == {0x41: "X", 0x42: "😀", 0x50: "a", 0x51: "b", 0x52: "c", 0x60: "1", 0x61: "2"}
